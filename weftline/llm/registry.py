@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import bpe, dedup, lengths, linear, pack, secrets, urls
+from weftline.llm import bpe, dedup, jaccard, lengths, linear, pack, secrets, topk, urls
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linear.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_filter(table(spark, sf_dir, "pages"), urls.RULES)
 
@@ -54,12 +62,14 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_top_k": op1_top_k,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe": op3_bpe,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_secrets": op6_secrets,
         "op7_quality": op7_quality,
+        "op8_jaccard": op8_jaccard,
         "op9_url_filter": op9_url_filter,
         "op10_token_counts": op10_token_counts,
     }
@@ -67,7 +77,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_top_k": topk.SQL,
         "op2_exact_dedup": dedup.SQL,
         "op6_secrets": secrets.SQL,
+        "op8_jaccard": jaccard.SQL,
         "op9_url_filter": urls.SQL,
     }
