@@ -17,7 +17,7 @@ others; of repeated rows one stays; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.session import cut, prepare
@@ -48,9 +48,9 @@ def collisions(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", hasher=content_hash) -> DataFrame:
-    """One row a document: the key, keep_id, group_size, kept and text_sha256."""
+    """One row a document: the key, keep_id, group_size, kept, text_sha256 and chars."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("row_key"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("chars"), normalised(text).alias("content"))
+    rows = docs.select(F.col(key).alias("row_key"), F.length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("chars"), normalised(text).alias("content"))
     rows = rows.withColumn("hash", hasher(F.col("content")))
     slim = cut(rows.select("row_key", "chars", "hash", F.sha2("content", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     best = F.min(F.struct(-F.col("chars"), F.col("row_key").isNull(), F.col("row_key").alias("keep_id"), F.col("row").alias("keep_row"))).alias("best")
@@ -74,14 +74,30 @@ def exact_dedup(docs: DataFrame, *, text: str = "text", key: str = "doc_id", has
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         (F.col("n").isNull() | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
+        "chars",
     )
 
 
+def kept_rows(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay. Only ids are joined where they tell rows
+    apart; else rows of one id, text and length are numbered, and as many go as are to go."""
+    found = cut(exact_dedup(docs, text=text, key=key))
+    by = [key, "text_sha256", "chars"]
+    if found.groupBy(key).count().filter("count > 1").isEmpty():
+        gone = found.filter("not kept").select(F.col(key).alias("__gone"))
+        return docs.join(gone, docs[key].eqNullSafe(gone["__gone"]), "left_anti")
+    stay = found.groupBy(*by).agg(F.count_if("kept").alias("__stay")).withColumnsRenamed({key: "__key", "text_sha256": "__sha", "chars": "__chars"})
+    marked = docs.withColumn("__own_sha", F.sha2(normalised(text), 256)).withColumn("__own_chars", F.length(F.coalesce(F.col(text), F.lit(""))))
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col("__own_sha") == F.col("__sha")) & (F.col("__own_chars") == F.col("__chars"))
+    turn = F.row_number().over(Window.partitionBy(key, "__own_sha", "__own_chars").orderBy(F.lit(1)))
+    return marked.join(stay.filter("__stay > 0"), same).withColumn("__turn", turn).filter("__turn <= __stay").select(*docs.columns)
+
+
 SQL = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS content FROM documents
 )
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY content) AS group_size,
-       row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256
+       row_number() OVER w = 1 AS kept, sha256(content) AS text_sha256, chars
 FROM t WINDOW w AS (PARTITION BY content ORDER BY chars DESC, doc_id)
 """

@@ -218,6 +218,19 @@ def score(docs: DataFrame, model: Model, threshold: float, *, text: str = "text"
     return kept.mapInArrow(work, f"`{key}` {kind}, held_out boolean, score double, predicted int")
 
 
+def passing(docs: DataFrame, model: Model, threshold: float, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score reaches the threshold."""
+    shared = prepare(docs.sparkSession).sparkContext.broadcast(model)
+    place = docs.columns.index(text)
+
+    def work(batches):
+        for batch in batches:
+            good = pa.array([shared.value.score(t) >= threshold for t in batch.column(place).to_pylist()], pa.bool_())
+            yield batch.filter(good)
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 #: Toxicity: presence of words, pairs and skip-grams; strong L1.
 TOXIC = (Features(grams=(1, 2), skips=(2, 3), stems=(4, 5), presence=True), Ftrl(alpha=0.3, l1=3.0, l2=0.1, epochs=3, least_docs=5))
 #: Quality: shares of n-grams, in which marks, case and repetition show.
