@@ -1,19 +1,476 @@
-"""The reference operators' queries and the SQL each is compared with."""
+"""The engine's queries over the test tables, and the SQL each is compared with.
+
+Where the tables lack what an operator works on (canonical links, feeds, HTTP bodies), the same
+expression derives it in Spark and in SQL.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline import streaming
+from weftline.functions import text as T
+from weftline.functions import urls as U
+from weftline.operators import archive, crawl, dedupe, lens, parse, validate
+from weftline.session import prepare, shared_dir
+from weftline.sources import parsed, warc, web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/query-{uuid.uuid4().hex}"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    """The indexable text of every distinct page."""
+    pages = table(spark, sf_dir, "pages").withColumn("seq", F.col("page_id"))
+    docs = parse.parse_pages(pages, keep=("page_id", "seq"))
+    kept = dedupe.keep_first_canonical(docs)
+    return kept.select("page_id", "canonical_url", "title", "description", "content", "content_hash")
+
+
+# URLs and text
+
+NO_FRAGMENT = "regexp_replace(url, '#.*$', '')"
+NO_QUERY = r"regexp_replace(regexp_replace(url, '#.*$', ''), '\?.*$', '')"
+HOST = "regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)"
+
+
+@query(f"SELECT page_id, {NO_FRAGMENT} AS url FROM pages")
+def url_defragment(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.defragment(U.whatwg_url("url")).alias("url"))
+
+
+@query(f"SELECT page_id, {NO_QUERY} AS url FROM pages")
+def url_drop_query(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.drop_query(U.whatwg_url("url")).alias("url"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+') || '/' AS origin FROM pages")
+def url_origin(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.origin(F.col("url")).alias("origin"))
+
+
+@query(f"SELECT {HOST} AS host, count(*) AS pages FROM pages GROUP BY 1")
+def url_host_counts(spark, sf):
+    return table(spark, sf, "pages").groupBy(U.host(F.col("url")).alias("host")).agg(F.count("*").alias("pages"))
+
+
+@query("SELECT page_id, 'https://www.' || substr(url, position('://' IN url) + 3) AS url FROM pages")
+def url_normalised(spark, sf):
+    messy = F.concat(F.lit(" HTTPS://WWW."), F.regexp_replace("url", "^[a-z]+://([^/]*)/", "$1:443/./x/../"), F.lit("\n"))
+    return table(spark, sf, "pages").select("page_id", U.whatwg_url(messy).alias("url"))
+
+
+@query("SELECT doc_id, regexp_replace(regexp_replace(' ' || chr(160) || chr(8195) || text || chr(12288) || chr(10), '^[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+', ''), '[\\x{9}-\\x{D}\\x{20}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+$', '') AS text FROM documents")
+def unicode_trim(spark, sf):
+    padded = F.concat(F.lit(" \xa0" + chr(8195)), "text", F.lit(chr(12288) + "\n"))
+    return table(spark, sf, "documents").select("doc_id", T.unicode_trim(padded).alias("text"))
+
+
+@query("SELECT doc_id, array_to_string(string_split(text, ' ')[1:256], ' ') AS head FROM documents")
+def first_256_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.first_words(F.col("text")).alias("head"))
+
+
+# pages
+
+_DECODE = "replace(replace(replace(replace({}, '&quot;', '\"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_CLEAN = "trim(" + _DECODE.format("regexp_replace(replace({}, chr(10), ' '), ' ?(<[^>]*>)+', ' ', 'g')") + ")"
+_BODY = "regexp_replace(regexp_replace(html, '^(?s:.*?)</head>', ''), '(?s)<(nav|footer|script|style)\\b.*?(</(nav|footer|script|style)>|$)|<!--.*?-->', '', 'g')"
+_TITLE = "nullif(trim(" + _DECODE.format("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)") + "), '')"
+_FIRST = "regexp_extract(html, '(?s)<article>.*?<p>(.*?)(?:<p>|</p>|</article>|$)', 1)"
+CONTENT = _CLEAN.format(_BODY)
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+def page_title(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "title")
+
+
+@query(f"SELECT page_id, {CONTENT} AS content FROM pages")
+def page_content(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "content")
+
+
+@query(f"SELECT page_id, {_CLEAN.format(_FIRST)} AS description FROM pages")
+def page_description(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "description")
+
+
+@query(f"SELECT page_id, len(string_split({CONTENT}, ' ')) AS words FROM pages")
+def page_word_count(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", F.size(F.split("content", " ")).cast("long").alias("words"))
+
+
+@query()
+def page_hash(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "content_hash")
+
+
+@query(f"SELECT page_id, sha256({CONTENT}) AS sha256 FROM pages")
+def page_sha256(spark, sf):
+    return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", F.sha2("content", 256).alias("sha256"))
+
+
+_HEAD = ("<link rel=\"canonical\" href=\"HTTPS://Example.COM/c/", "#x\"><meta name=\"description\" content=\"d", "\"><meta property=\"og:type\"></head>")
+_LINKS = ("<article><a href=\"/l/", "#f\">x</a><a href=\"http://x.example.org/", "\">y</a><a rel=\"NoFollow\" href=\"/no\">z</a><a href=\"#top\">t</a><p>")
+
+
+def augmented(spark, sf) -> DataFrame:
+    """Pages with a canonical link, meta tags and links."""
+    number, seventh = F.col("page_id").cast("string"), (F.col("page_id") % 7).cast("string")
+    head = F.concat(F.lit(_HEAD[0]), seventh, F.lit(_HEAD[1]), number, F.lit(_HEAD[2]))
+    links = F.concat(F.lit(_LINKS[0]), number, F.lit(_LINKS[1]), seventh, F.lit(_LINKS[2]))
+    html = F.replace(F.replace(F.col("html"), F.lit("</head>"), head), F.lit("<article>"), links)
+    return table(spark, sf, "pages").withColumn("html", html)
+
+
+@query("SELECT page_id, 'https://example.com/c/' || (page_id % 7) AS canonical_url, 'd' || page_id AS description FROM pages")
+def page_canonical(spark, sf):
+    return parse.parse_pages(augmented(spark, sf), keep=("page_id",)).select("page_id", "canonical_url", "description")
+
+
+@query("SELECT page_id, 'd' || page_id AS description, '' AS og_type, 2 AS tags FROM pages")
+def page_meta(spark, sf):
+    docs = parse.parse_pages(augmented(spark, sf), keep=("page_id",))
+    return docs.select("page_id", F.col("meta")["description"].alias("description"), F.col("meta")["og:type"].alias("og_type"), F.size("meta").alias("tags"))
+
+
+@query("SELECT page_id, unnest([regexp_extract(url, '^[a-z]+://[^/?#]+') || '/l/' || page_id || '#f', 'https://x.example.org/' || (page_id % 7)]) AS link FROM pages")
+def page_links(spark, sf):
+    return parse.parse_pages(augmented(spark, sf), keep=("page_id",)).select("page_id", F.explode("links").alias("link"))
+
+
+# dedupe
+
+
+@query(f"SELECT page_id, key FROM (SELECT page_id, {HOST} || '/' || (page_id % 3) AS key FROM pages) QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1")
+def dedupe_by_url(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", F.concat(U.host(F.col("url")), F.lit("/"), (F.col("page_id") % 3).cast("string")).alias("key"))
+    return dedupe.keep_first(rows, "key", "page_id")
+
+
+@query("SELECT min(page_id) AS page_id, 'https://example.com/c/' || (page_id % 7) AS canonical_norm FROM pages GROUP BY 2")
+def dedupe_by_canonical(spark, sf):
+    docs = parse.parse_pages(augmented(spark, sf), keep=("page_id",))
+    return dedupe.keep_first_canonical(docs, seq="page_id").select("page_id", "canonical_norm")
+
+
+@query(f"SELECT count(*) AS documents, count(DISTINCT h) AS \"distinct\", count(*) - count(DISTINCT h) AS duplicates FROM (SELECT {HOST} AS h FROM pages)")
+def duplicate_counts(spark, sf):
+    return dedupe.duplicate_counts(table(spark, sf, "pages").select(U.host(F.col("url")).alias("h")), "h")
+
+
+@query(f"SELECT h AS host, n FROM (SELECT {HOST} AS h, count(*) AS n FROM pages GROUP BY 1) WHERE n > 1 OR h IS NULL")
+def unique_assert(spark, sf):
+    return dedupe.not_unique(table(spark, sf, "pages").select(U.host(F.col("url")).alias("host")), "host")
+
+
+@query("""
+WITH RECURSIVE n AS (
+  SELECT page_id, row_number() OVER (ORDER BY page_id) AS rn, 'https://e.com/' || (page_id % 40) AS u,
+         CASE WHEN page_id % 11 = 0 THEN NULL ELSE 'https://e.com/' || ((page_id * 7 + 3) % 60) END AS c FROM pages
+), r AS (
+  SELECT 0::BIGINT AS rn, []::VARCHAR[] AS e, NULL::BIGINT AS page_id, false AS archived, false AS parsed
+  UNION ALL
+  SELECT n.rn, CASE WHEN NOT list_contains(e, u) AND c IS NOT NULL AND NOT list_contains(e, c) THEN list_append(e, c) ELSE e END, n.page_id,
+         NOT list_contains(e, u), NOT list_contains(e, u) AND c IS NOT NULL AND NOT coalesce(list_contains(e, c), false)
+  FROM r JOIN n ON n.rn = r.rn + 1
+)
+SELECT page_id, archived, parsed FROM r WHERE page_id IS NOT NULL
+""")
+def archive_dual_dedupe(spark, sf):
+    rows = table(spark, sf, "pages").select(
+        "page_id",
+        F.concat(F.lit("https://e.com/"), (F.col("page_id") % 40).cast("string")).alias("url"),
+        F.when(F.col("page_id") % 11 != 0, F.concat(F.lit("https://e.com/"), ((F.col("page_id") * 7 + 3) % 60).cast("string"))).alias("canonical_norm"),
+    )
+    return dedupe.dual_dedupe(rows, seq="page_id").select("page_id", "archived", "parsed")
+
+
+# lenses
+
+LENS = lens.Lens("test", domains=["example.org"], urls=["https://m.", "http://www.exact.example$"], skips=["*ref=*"], sanitise=[(r"utm_source", True)])
+
+
+@query(f"SELECT page_id, url FROM pages WHERE (regexp_matches(url, '^https?://(www\\.)?example\\.org(/.*)?$') OR starts_with(url, 'https://m.')) AND NOT regexp_matches(url, '^.*ref=.*$')")
+def lens_allow_deny(spark, sf):
+    return table(spark, sf, "pages").filter(lens.allow_deny(F.col("url"), LENS.allowed(), LENS.skipped())).select("page_id", "url")
+
+
+@query("SELECT page_id, url AS seed, page_id % 2 = 0 AS exact FROM pages")
+def lens_exact_seed(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("$$"))).otherwise(F.col("url")).alias("url"))
+    return rows.select("page_id", F.regexp_replace("url", r"\$+$", "").alias("seed"), F.col("url").endswith("$").alias("exact"))
+
+
+@query("SELECT page_id, CASE WHEN contains(url, 'utm_source') THEN regexp_replace(url, '\\?[^#]*', '') ELSE url END AS url FROM pages")
+def lens_sanitize(spark, sf):
+    return table(spark, sf, "pages").select("page_id", U.sanitise(F.col("url"), LENS.sanitise).alias("url"))
+
+
+@query("SELECT p.prefix, count(DISTINCT pages.url) AS n FROM (SELECT DISTINCT substr(url, 1, 14 + page_id % 12) AS prefix FROM pages) p LEFT JOIN (SELECT DISTINCT url FROM pages) pages ON starts_with(pages.url, p.prefix) GROUP BY 1 HAVING count(DISTINCT pages.url) <= 1")
+def lens_prefix_fallback(spark, sf):
+    pages = table(spark, sf, "pages")
+    prefixes = pages.select(F.substring("url", F.lit(1), (14 + F.col("page_id") % 12).cast("int")).alias("prefix"))
+    return lens.thin_prefixes(pages.select("url").distinct(), prefixes.distinct())
+
+
+# formats
+
+_MESSAGE = "'HTTP/1.1 200 OK' || chr(10) || 'Content-Type: text/html' || chr(10) || 'X-Id:  ' || page_id || ' ' || chr(13) || chr(10) || chr(10) || '  line ' || page_id || chr(10) || chr(10) || ' more: x'"
+
+
+@query("SELECT page_id, 'Content-Type=text/html;X-Id=' || page_id AS headers, 'line ' || page_id || 'more: x' AS content FROM pages")
+def http_body_split(spark, sf):
+    body = F.expr(_MESSAGE.replace("chr(", "char("))
+    split = table(spark, sf, "pages").select("page_id", parse.split_body(body).alias("m"))
+    return split.select("page_id", F.array_join(F.transform("m.headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ";").alias("headers"), F.col("m.content").alias("content"))
+
+
+@query("SELECT page_id, 'HTTP/1.1 200 OK' || chr(10) || 'A: ' || page_id || chr(10) || 'A: 2' || chr(10) || chr(10) || html AS body FROM pages")
+def warc_body_build(spark, sf):
+    headers = F.array(F.struct(F.lit("A").alias("name"), F.col("page_id").cast("string").alias("value")), F.struct(F.lit("A").alias("name"), F.lit("2").alias("value")))
+    return table(spark, sf, "pages").select("page_id", parse.build_body(headers, F.col("html")).alias("body"))
+
+
+@query("SELECT url, 200 AS status, 'X-Id=' || page_id AS headers, html AS content FROM pages")
+def warc_roundtrip(spark, sf):
+    warc.register(spark)
+    path = folder(spark)
+    headers = F.array(F.struct(F.lit("X-Id").alias("name"), F.col("page_id").cast("string").alias("value")))
+    table(spark, sf, "pages").select("url", parse.build_body(headers, F.col("html")).alias("body")).write.format("warc").mode("append").save(path)
+    rows = warc.to_archive_records(warc.read_warc(spark, path), "exact")
+    return rows.select("url", "status", F.array_join(F.transform("headers", lambda h: F.concat_ws("=", h["name"], h["value"])), ";").alias("headers"), "content")
+
+
+_PARSED = "SELECT 'https://example.com/c/' || (page_id % 7) AS canonical_url, {title} AS title, 'd' || page_id AS description FROM pages".format(title=_TITLE)
+
+
+@query(_PARSED)
+def ron_roundtrip(spark, sf):
+    path = folder(spark)
+    parsed.write_parsed(parse.parse_pages(augmented(spark, sf)), path)
+    return parsed.read_parsed(spark, path, format="ron").select("canonical_url", "title", "description")
+
+
+@query(_PARSED)
+def jsonl_scan(spark, sf):
+    path = folder(spark)
+    parsed.write_parsed(parse.parse_pages(augmented(spark, sf)), path, "json")
+    return parsed.read_parsed(spark, path, format="json").select("canonical_url", "title", "description")
+
+
+# discovery
+
+
+def sitemaps(spark, sf) -> DataFrame:
+    """A sitemap a page: its URL, and nested sitemaps of the pages 2 n + 1 and 2 n + 2, and of itself."""
+    entry = F.concat(F.lit("<urlset xmlns='http://www.sitemaps.org/schemas/sitemap/0.9'><url><loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    nested = F.concat(*(F.concat(F.lit("<sitemap><loc>s"), (F.col("page_id") * k + j).cast("string"), F.lit("</loc></sitemap>")) for k, j in ((2, 1), (2, 2), (1, 0))))
+    return table(spark, sf, "pages").select("page_id", F.concat(F.lit("s"), F.col("page_id").cast("string")).alias("sitemap"), F.concat(entry, nested, F.lit("</urlset>")).alias("text"))
+
+
+@query("SELECT page_id, url, 's' || (2 * page_id + 1) || ',s' || (2 * page_id + 2) || ',s' || page_id AS nested FROM pages")
+def sitemap_extract(spark, sf):
+    rows = sitemaps(spark, sf).select("page_id", web.sitemap_links("text").alias("l"))
+    return rows.select("page_id", F.col("l.urls")[0].alias("url"), F.array_join("l.sitemaps", ",").alias("nested"))
+
+
+@query("WITH RECURSIVE r AS (SELECT 0::BIGINT AS page_id UNION SELECT p.page_id FROM r JOIN pages p ON p.page_id IN (2 * r.page_id + 1, 2 * r.page_id + 2)) SELECT DISTINCT url FROM pages JOIN r USING (page_id) WHERE contains(url, 'example')")
+def sitemap_fixpoint(spark, sf):
+    known = sitemaps(spark, sf)
+    seeds = spark.createDataFrame([("s0",)], "sitemap string")
+    return web.expand_sitemaps(seeds, lambda frontier: frontier.join(known, "sitemap"), ["example"], [])
+
+
+@query("SELECT url FROM pages WHERE page_id % 3 = 0")
+def rss_links(spark, sf):
+    kinds = F.element_at(F.array(F.lit("Rss"), F.lit("Json"), F.lit("Atom")), (F.col("page_id") % 3 + 1).cast("int"))
+    item = F.concat(F.lit("<item><title>t</title><link>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
+    body = F.when(F.col("page_id") % 3 == 2, F.concat(F.lit("<feed><entry>"), item, F.lit("</entry></feed>"))).otherwise(F.concat(F.lit("<rss><channel>"), item, F.lit("</channel></rss>")))
+    return web.feed_items(table(spark, sf, "pages").select(kinds.alias("feed_type"), body.alias("text")))
+
+
+@query("SELECT page_id, url AS sitemap FROM pages")
+def robots_sitemaps(spark, sf):
+    body = F.concat(F.lit("User-agent: *\r\nDisallow: /x\nSiteMap : "), "url", F.lit(" \n# Sitemap: no\n"))
+    return table(spark, sf, "pages").select("page_id", F.explode(web.robots_sitemaps(body)).alias("sitemap"))
+
+
+@query("SELECT page_id // 10 AS page, url, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) = count(*) OVER (PARTITION BY page_id // 10) AS is_key FROM pages QUALIFY count(*) OVER (PARTITION BY page_id // 10) = 10")
+def cdx_pages(spark, sf):
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: s.url), "\n\n")
+    pages = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("page")).agg(lines.alias("response"), F.count("*").alias("n")).filter("n = 10")
+    rows = pages.select("page", web.cdx_lines(F.col("response"), 9).alias("c"))
+    urls = rows.select("page", F.explode("c.urls").alias("url"), F.lit(False).alias("is_key"))
+    return urls.unionByName(rows.select("page", F.col("c.resume_key").alias("url"), F.lit(True).alias("is_key")))
+
+
+@query(f"""
+WITH u AS (
+  SELECT 'http://example.org/' AS url UNION SELECT 'https://m./' UNION SELECT 'http://www.exact.example/'
+  UNION SELECT url FROM pages WHERE page_id % 5 = 0
+  UNION SELECT url FROM pages WHERE (regexp_matches(url, '^https?://(www\\.)?example\\.org(/.*)?$') OR starts_with(url, 'https://m.')) AND NOT contains(url, 'ref=')
+) SELECT DISTINCT CASE WHEN contains(url, 'utm_source') THEN {NO_QUERY} ELSE {NO_FRAGMENT} END AS url FROM u
+""")
+def discover_union(spark, sf):
+    pages = table(spark, sf, "pages")
+    return crawl.discovered(LENS, pages.filter("page_id % 2 = 0"), pages.filter("page_id % 5 = 0"), pages.filter("page_id % 2 = 1"))
+
+
+# crawling
+
+
+@query("SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 4 = 0)")
+def crawl_antijoin(spark, sf):
+    pages = table(spark, sf, "pages")
+    return crawl.still_to_fetch(pages, pages.filter("page_id % 4 = 0"))
+
+
+@query(f"SELECT host, second, count(*) AS urls FROM (SELECT {HOST} AS host, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) // 2 AS second FROM pages) GROUP BY 1, 2")
+def rate_limit_schedule(spark, sf):
+    planned = crawl.schedule(table(spark, sf, "pages"))
+    return planned.groupBy("host", "second").agg(F.count("*").alias("urls"))
+
+
+_STATUS = "CASE page_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 END"
+
+
+@query(f"SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 3 THEN 'too_many_requests' WHEN 5 THEN 'request_error' ELSE 'http_error' END AS outcome, page_id % 6 IN (3, 4, 5) AS retry, CASE WHEN page_id % 2 = 0 THEN page_id * 1000 ELSE 5000 END AS delay_ms FROM pages")
+def retry_classify(spark, sf):
+    status = F.expr(_STATUS)
+    after = F.when(F.col("page_id") % 2 == 0, F.col("page_id").cast("string")).otherwise(F.lit("soon"))
+    return table(spark, sf, "pages").select("page_id", web.outcome(status).alias("outcome"), web.retryable(status).alias("retry"), web.retry_delay_ms(after).alias("delay_ms"))
+
+
+@query("SELECT * FROM (VALUES ('crawl', 1, 100), ('crawl', 2, 5000), ('crawl', 3, 5000), ('index', 1, 1000), ('index', 2, 1000000), ('index', 3, 1000000000)) t(source, attempt, delay_ms)")
+def backoff_delays(spark, sf):
+    rows = [("crawl", i, d) for i, d in enumerate(web.backoff_delays(), 1)] + [("index", i, d) for i, d in enumerate(web.backoff_delays(1000, 3, None), 1)]
+    return spark.createDataFrame(rows, "source string, attempt int, delay_ms int")
+
+
+@query("SELECT url, CASE WHEN page_id % 3 = 0 THEN 'archive' WHEN page_id % 2 = 0 THEN 'origin' END AS source, CASE WHEN page_id % 6 = 0 OR page_id % 3 = 0 THEN 200 WHEN page_id % 2 = 0 THEN 204 ELSE 500 END AS status FROM pages")
+def source_fallback(spark, sf):
+    rows = table(spark, sf, "pages").select("url", F.when(F.col("page_id") % 2 == 0, 204).otherwise(500).alias("origin_status"), F.when(F.col("page_id") % 3 == 0, 200).alias("archive_status"))
+    return crawl.first_success(rows)
+
+
+@query("SELECT page_id, 'https://web.archive.org/web/20240229000000id_/' || url AS url, '2023' AS from_year FROM pages")
+def archive_copy_url(spark, sf):
+    day = F.to_date(F.lit("2024-02-29"))
+    return table(spark, sf, "pages").select("page_id", U.archive_copy(F.col("url"), day).alias("url"), F.date_format(F.date_sub(day, 364), "yyyy").alias("from_year"))
+
+
+# checks
+
+
+def records(spark, sf) -> DataFrame:
+    headers = F.when(F.col("page_id") % 10 != 0, F.array(F.struct(F.lit("A").alias("name"), F.lit("b").alias("value"))))
+    content = F.when(F.col("page_id") % 9 != 0, F.col("html")).otherwise("")
+    url = F.when(F.col("page_id") % 25 == 0, F.lit("not a url")).otherwise(F.col("url"))
+    return table(spark, sf, "pages").filter("page_id % 7 <> 0").select(url.alias("url"), F.lit(200).alias("status"), headers.alias("headers"), content.alias("content"))
+
+
+_COUNTERS = "SELECT count(*) AS records, count(*) FILTER (WHERE page_id % 10 = 0) AS no_headers, count(*) FILTER (WHERE page_id % 9 = 0) AS no_content, count(*) FILTER (WHERE page_id % 25 = 0) AS invalid_urls FROM pages WHERE page_id % 7 <> 0"
+_MISSING = "SELECT DISTINCT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 7 <> 0 AND page_id % 25 <> 0)"
+
+
+@query(_COUNTERS)
+def validate_counters(spark, sf):
+    return validate.counters(records(spark, sf))
+
+
+@query(_MISSING)
+def validate_missing(spark, sf):
+    return validate.missing(table(spark, sf, "pages").select("url"), records(spark, sf))
+
+
+@query(f"SELECT *, false AS valid FROM ({_COUNTERS}) CROSS JOIN (SELECT count(*) AS missing FROM ({_MISSING}))")
+def validate_report(spark, sf):
+    return validate.report(table(spark, sf, "pages").select("url"), records(spark, sf))
+
+
+@query("SELECT 'https://example.com/c/' || (page_id % 7) AS canonical_url, min(page_id) AS first_id FROM pages GROUP BY 1")
+def preprocess_archive(spark, sf):
+    warc.register(spark)
+    path = folder(spark)
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    augmented(spark, sf).orderBy("page_id").coalesce(1).select("url", parse.build_body(none, F.col("html")).alias("body")).write.format("warc").mode("append").save(path)
+    docs = archive.preprocess(spark, path)
+    return docs.select("canonical_url", F.regexp_extract("description", "d([0-9]+)", 1).cast("long").alias("first_id"))
+
+
+# streams
+
+
+def stream(spark, sf, name) -> DataFrame:
+    prepare(spark)
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+def run_stream(spark, rows: DataFrame, mode: str) -> DataFrame:
+    """Run a stream over all that is there now and read what its last batches wrote."""
+    path = folder(spark)
+    if mode == "complete":
+        writer = rows.writeStream.outputMode(mode).foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/out"))
+    else:
+        writer = rows.writeStream.outputMode(mode).format("parquet").option("path", f"{path}/out")
+    writer.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_dedupe(spark, sf):
+    users = stream(spark, sf, "events").select("user_id")
+    return run_stream(spark, streaming.first_sightings(users, url="user_id"), "append")
+
+
+@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")
+def stream_windowed_counts(spark, sf):
+    counts = run_stream(spark, streaming.windowed_counts(stream(spark, sf, "events")), "complete")
+    return counts.withColumn("value", F.round("value", 4)).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query(f"SELECT host, second, count(*) AS urls FROM (SELECT {HOST} AS host, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) // 2 AS second FROM pages) GROUP BY 1, 2")
+def stream_rate_limit(spark, sf):
+    kept = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        pages = stream(spark, sf, "pages").select(U.host(F.col("url")).alias("host"), "url")
+        return run_stream(spark, streaming.limited(pages), "append").groupBy("host", "second").agg(F.count("*").alias("urls"))
+    finally:
+        if kept is None:
+            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+        else:
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", kept)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
