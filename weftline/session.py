@@ -22,6 +22,7 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = f"{root}:{known}" if known else root
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark
 
 
