@@ -1 +1 @@
-"""See the package README."""
+"""Part of weftline; see README.md."""
