@@ -213,7 +213,7 @@ def labelled(spark):
 @pytest.mark.parametrize("name,threshold", [("toxic", 0.5), ("quality", 0.3)])
 def test_classifiers(spark, name, threshold):
     docs, labels = labelled(spark)
-    df = frame(spark, docs, "score double, label int, keys int, predicted int")
+    df = frame(spark, docs, "score string, label long, keys int, predicted string")
     run = linear.toxicity if name == "toxic" else linear.quality
     got = run(df, labels).collect()
     assert len(got) == len(docs) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= threshold) for r in got)
