@@ -207,12 +207,12 @@ def _summed(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np
     return a[first], b[first], np.add.reduceat(w, np.flatnonzero(first))
 
 
-PAIRS = "list long, a long, b long, n long, weight long"
+PAIRS = "list long, names array<long>, sizes array<int>, a long, b long, weight long"
 
 
 def lists_and_centres(block: pa.Table) -> pa.Table:
-    """Of one block: members (list, a, n, weight) of each distinct list of sets that share shingles,
-    and pairs (a, b, weight; list is null) of each set with the centre of its lists."""
+    """Of one block: each distinct list of sets that share shingles (list, names, sizes, weight), and
+    pairs (a, b, weight; list is null) of each set with the centre of its lists."""
     tag = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in block["tags"].to_pylist()])
     name = np.concatenate([np.frombuffer(x, dtype=np.uint64) for x in block["names"].to_pylist()])
     size = np.concatenate([np.frombuffer(x, dtype=np.uint32) for x in block["sizes"].to_pylist()])
@@ -225,8 +225,9 @@ def lists_and_centres(block: pa.Table) -> pa.Table:
     # lists of two and more, equal ones once: a list is told by the sum of its mixed names
     sums = np.add.reduceat(mix(name), starts)
     sums, starts, counts = sums[counts > 1], starts[counts > 1], counts[counts > 1]
+    schema = pa.schema([("list", pa.int64()), ("names", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("a", pa.int64()), ("b", pa.int64()), ("weight", pa.int64())])
     if not len(sums):
-        return pa.table({k: pa.array([], pa.int64()) for k in ("list", "a", "b", "n", "weight")})
+        return schema.empty_table()
     sums, index, weight = np.unique(mix(sums ^ counts.astype(np.uint64)), return_index=True, return_counts=True)
     starts, counts = starts[index], counts[index]
     ends = np.cumsum(counts)
@@ -247,11 +248,16 @@ def lists_and_centres(block: pa.Table) -> pa.Table:
         right.append(name[order][~first])
         shared.append(weights[order][~first])
     a, b, w = _summed(np.concatenate(left), np.concatenate(right), np.concatenate(shared))
-    number = _signed(mix(sums ^ np.uint64(int(block["block"][0].as_py()) + 1)))[owner]
-    none, nothing = pa.nulls(len(a), pa.int64()), pa.nulls(len(name), pa.int64())
-    members = pa.table([pa.array(number), pa.array(_signed(name)), nothing, pa.array(size), pa.array(weights)], names=["list", "a", "b", "n", "weight"])
-    pairs = pa.table([none, pa.array(_signed(a)), pa.array(_signed(b)), none, pa.array(w)], names=["list", "a", "b", "n", "weight"])
-    return pa.concat_tables([members, pairs])
+    # sets too far apart in size cannot link
+    sorted_names, first_at = np.unique(name, return_index=True)
+    n_a, n_b = (size[first_at[np.searchsorted(sorted_names, x)]] for x in (a, b))
+    close = (n_a * 100 >= PERCENT * n_b) & (n_b * 100 >= PERCENT * n_a)
+    a, b, w = a[close], b[close], w[close]
+    number = _signed(mix(sums ^ np.uint64(int(block["block"][0].as_py()) + 1)))
+    offsets = pa.array(np.append(0, ends).astype(np.int32))
+    lists = pa.table([pa.array(number), pa.ListArray.from_arrays(offsets, pa.array(_signed(name))), pa.ListArray.from_arrays(offsets, pa.array(size.astype(np.int32))), pa.nulls(len(number), pa.int64()), pa.nulls(len(number), pa.int64()), pa.array(weight.astype(np.int64))], schema=schema)
+    pairs = pa.table([pa.nulls(len(a), pa.int64()), pa.nulls(len(a), schema.field("names").type), pa.nulls(len(a), schema.field("sizes").type), pa.array(_signed(a)), pa.array(_signed(b)), pa.array(w.astype(np.int64))], schema=schema)
+    return pa.concat_tables([lists, pairs])
 
 
 def across_trees(group: pa.Table) -> pa.Table:
@@ -298,9 +304,9 @@ def _bitmap(ids: DataFrame, bits: int) -> np.ndarray:
     return made.view(np.uint64)
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
-    """id and set (sorted hashes) of documents, computed again from their texts. A bitmap of at most
-    2^27 bits turns most other documents away before their texts are cut."""
+def _texts_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
+    """id and text of documents, and of few others: a bitmap of at most 2^27 bits turns most of them
+    away at the scan, and the join with pairs the rest."""
     bits = 1 << max(16, min(27, (16 * max(1, ids.count())).bit_length()))
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(ids, bits))
     rows = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.pmod(F.xxhash64(F.col(key)), F.lit(bits)).alias("spot"), F.col(text).alias("text"))
@@ -312,17 +318,19 @@ def _sets_of(docs: DataFrame, ids: DataFrame, text: str, key: str) -> DataFrame:
             there = (shared.value[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1)
             some = batch.filter(pa.array(there.astype(bool)))
             if some.num_rows:
-                sets = shingle_sets(some.column(2).to_pylist())
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
+                yield some.select(["id", "text"])
 
-    return rows.mapInArrow(work, f"id {kind}, set binary").join(ids, "id", "left_semi")
+    return rows.mapInArrow(work, f"id {kind}, text string")
 
 
 def _linked(batches):
     for batch in batches:
+        lefts, rights = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        once = {t: i for i, t in enumerate(dict.fromkeys([*lefts, *rights]))}
+        sets = shingle_sets(list(once))
         keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for x, y in zip(lefts, rights, strict=True):
+            a, b = sets[once[x]], sets[once[y]]
             both = np.concatenate([a, b])
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -331,13 +339,14 @@ def _linked(batches):
 
 
 def verified(docs: DataFrame, pairs: DataFrame, text: str, key: str) -> DataFrame:
-    """The pairs (a, b) of ids whose sets link. The set of b travels to a; Spark splits a hot a."""
+    """The pairs (a, b) of ids whose sets link. The text of b travels to a (texts are less than half as
+    large as sets), where both sets are computed; Spark splits a hot a."""
     pairs = cut(pairs)
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    sets = cut(_sets_of(docs, ids, text, key))
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    texts = _texts_of(docs, cut(ids), text, key)
     kind = pairs.schema["a"].dataType.simpleString()
-    moved = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    met = moved.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
+    moved = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    met = moved.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
     return cut(met.mapInArrow(_linked, f"a {kind}, b {kind}").distinct())
 
 
@@ -371,7 +380,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     tree_of = node.join(trees, node["id"] == trees["node"]).select("short", F.xxhash64("root").alias("tree"))
     tree_of = cut(tree_of.unionByName(node.join(trees.select(F.col("root").alias("id")).distinct(), "id", "left_semi").select("short", F.xxhash64("id").alias("tree"))))
-    members = made.filter("list is not null").select("list", "a", "n", "weight")
+    members = made.filter("list is not null").select("list", "weight", F.explode(F.arrays_zip("names", "sizes")).alias("m")).select("list", F.col("m.names").alias("a"), F.col("m.sizes").cast("long").alias("n"), "weight")
     placed = members.join(tree_of.withColumnRenamed("short", "a"), "a", "left").withColumn("tree", F.coalesce("tree", F.xxhash64(F.lit("alone"), "a")))
     placed = placed.withColumn("deal", F.pmod("list", F.lit(4 * blocks)))
     crossing = placed.groupBy("deal").applyInArrow(across_trees, "a long, b long, n_a long, n_b long, weight long")
