@@ -45,6 +45,12 @@ def test_mergeable_text(text):
     assert ids(text) == REAL.encode(text, add_special_tokens=False).ids
 
 
+def test_every_letter_below_latin_end():
+    for letter in map(chr, range(ord(bpe.LATIN_END))):
+        for text in (letter, f"{letter}li {letter}{letter} a{letter} 1{letter}"):
+            assert ids(text) == REAL.encode(text, add_special_tokens=False).ids, hex(ord(letter))
+
+
 def test_batches_and_long_texts(monkeypatch):
     texts = ["", "The first. ", None, "thé" * 3000, "a'll b've 're'd", "Ünion " * 4000, "x y", "日本", *(f"word{i} " * (i % 90) for i in range(400))]
     small = bpe.Encoder.__new__(bpe.Encoder)

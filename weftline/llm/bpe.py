@@ -35,7 +35,7 @@ SHORT = 48
 SPACES, LETTER, DIGIT, OTHER = range(4)
 #: Stands for "no merge".
 NEVER = np.int64(1 << 40)
-#: From this letter on, texts are split by the library's Unicode tables.
+#: From this letter on, also where lower-casing leads there, texts are split by the library's Unicode tables.
 LATIN_END = "\u0250"
 #: Unicode White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
@@ -310,10 +310,10 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes texts by their distinct words, which are found and told apart by array operations.
 
-    Texts whose letters all lie below ``LATIN_END`` and that hold no special token are cut by a
-    table of letter classes; a word is known by a 64-bit hash together with its length and three
-    of its letters. Other texts are normalised and cut by the tokenizers library and encoded by
-    the same vocabulary.
+    Texts whose letters, also in lower case, all lie below ``LATIN_END`` and that hold no special
+    token are cut by a table of letter classes; a word is known by a 64-bit hash together with its
+    length and three of its letters. Other texts are normalised and cut by the tokenizers library
+    and encoded by the same vocabulary.
     """
 
     #: Letters hashed at a time.
@@ -326,7 +326,9 @@ class Encoder:
             raise ValueError("this tokenizer file cuts words by another rule")
         end = ord(LATIN_END)
         self.kind = np.array([SPACES if v.space.match(chr(i)) else {"L": LETTER, "N": DIGIT}.get(unicodedata.category(chr(i))[0], OTHER) for i in range(end)], dtype=np.uint8)
-        self.beyond = re.compile(f"[\u0130{LATIN_END}-\U0010ffff]|" + ("|".join(map(re.escape, v.special)) or "(?!)"))
+        # letters that lower-casing takes beyond the tables, such as U+018F
+        leaving = "".join(c for c in map(chr, range(end)) if any(ord(x) >= end for x in c.lower()))
+        self.beyond = re.compile(f"[{leaving}{LATIN_END}-\U0010ffff]|" + ("|".join(map(re.escape, v.special)) or "(?!)"))
         rng = np.random.default_rng(20)
         self.letter = rng.integers(1, 1 << 63, end, dtype=np.uint64)
         base = 0x9E3779B97F4A7C15
