@@ -124,6 +124,14 @@ def test_unsafe_xml(spark):
     assert [list(r.l.urls) for r in rows.select(web.sitemap_links("t").alias("l")).collect()] == [[], ["u"], [], []]
 
 
+def test_deep_sitemaps(spark):
+    nested = "<urlset><url><loc>u{0}</loc></url><sitemap><loc>s{1}</loc></sitemap></urlset>"
+    known = spark.createDataFrame([(f"s{i}", nested.format(i, (i + 1) % 20)) for i in range(20)], "sitemap string, text string").coalesce(1)
+    seeds = spark.createDataFrame([("s0",)], "sitemap string")
+    found = web.expand_sitemaps(seeds, lambda frontier: frontier.join(known, "sitemap"), ["u"], [])
+    assert sorted(r.url for r in found.collect()) == sorted(f"u{i}" for i in range(20))
+
+
 def test_session(spark, tmp_path):
     pages = {
         "http://a.b/": "<html><head><link type='application/rss+xml' href='http://a.b/feed'></head><body>front</body></html>",

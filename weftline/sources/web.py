@@ -113,24 +113,23 @@ def robots_rules(body: Column, agent: str = "*") -> Column:
     return F.transform(lines, lambda line: F.struct(F.lower(F.regexp_extract(line, r"(?i)^\s*(allow|disallow)", 1)).alias("rule"), F.trim(F.regexp_extract(line, r":([^#]*)", 1)).alias("path")))
 
 
-def expand_sitemaps(seeds: DataFrame, fetched: Callable[[DataFrame], DataFrame], allowed: list[str], skipped: list[str], depth: int = 16) -> DataFrame:
+def expand_sitemaps(seeds: DataFrame, fetched: Callable[[DataFrame], DataFrame], allowed: list[str], skipped: list[str]) -> DataFrame:
     """URLs of sitemaps and of all that they nest, allowed ones only.
 
     seeds: sitemap. fetched: gives sitemap and text for a frame of sitemaps. Each round reads only
-    sitemaps that no round read before, so cycles end; rounds are bounded by ``depth``.
+    sitemaps that no round read before, so cycles end, and goes on until none is left.
     """
     frontier = cut(seeds.select("sitemap").distinct())
     visited = frontier
     found = None
-    for _ in range(depth):
+    while True:
         read = cut(fetched(frontier).select("sitemap", sitemap_links("text").alias("links")))
         urls = read.select(F.explode("links.urls").alias("url")).filter(allow_deny(F.col("url"), allowed, skipped))
         found = urls if found is None else found.unionByName(urls)
         frontier = cut(read.select(F.explode("links.sitemaps").alias("sitemap")).distinct().join(visited, "sitemap", "left_anti"))
         if frontier.isEmpty():
-            break
+            return found.distinct()
         visited = cut(visited.unionByName(frontier))
-    return found.distinct()
 
 
 def feed_items(feeds: DataFrame) -> DataFrame:
