@@ -150,6 +150,17 @@ def test_session(spark, tmp_path):
     assert validate.report(spark.createDataFrame([("http://A.b",)], "url string"), records).first().valid
 
 
+def test_packed_sitemap(spark, tmp_path):
+    packed = gzip.compress("<urlset><url><loc>http://a.b/é</loc></url></urlset>".encode())
+    pages = {
+        "http://a.b/robots.txt": "Sitemap: http://a.b/map.xml.gz\nSitemap: http://a.b/damaged.xml.gz\n",
+        "http://a.b/map.xml.gz": packed,
+        "http://a.b/damaged.xml.gz": packed[:12] + bytes(20) + packed[-8:],
+    }
+    session = cli.Session(spark, lens.Lens("t", domains=["a.b"]), str(tmp_path), transport(pages))
+    assert "http://a.b/%C3%A9" in [r.url for r in session.find_urls().collect()]
+
+
 def test_crawl_folder(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "one.html").write_text("<p>one")

@@ -41,8 +41,8 @@ class Session:
 
     def _fetched(self, urls: DataFrame, name: str) -> DataFrame:
         """name, status and text of payloads, fetched once and kept."""
-        got = crawl.fetch_all(urls.select(F.col(name).alias("url")), self.transport, as_of=str(datetime.date.today()), origin_first=True)
-        return got.select(F.col("url").alias(name), "status", F.col("content").alias("text"))
+        got = crawl.fetch_payloads(urls.select(F.col(name).alias("url")), self.transport, as_of=str(datetime.date.today()), origin_first=True)
+        return got.select(F.col("url").alias(name), "status", web.payload_text("url", "body").alias("text"))
 
     def sites(self, domains: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame([(d,) for d in domains], "domain string")

@@ -35,8 +35,9 @@ def content_hash(text: pd.Series) -> pd.Series:
 def gunzip_text(data: bytes) -> str | None:
     """UTF-8 text of gzip data, None where either is damaged."""
     import gzip
+    import zlib
 
     try:
         return gzip.decompress(data).decode("utf-8")
-    except (OSError, EOFError, UnicodeDecodeError):
+    except (OSError, EOFError, UnicodeDecodeError, zlib.error):
         return None

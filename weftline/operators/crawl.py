@@ -49,6 +49,7 @@ def first_success(rows: DataFrame, origin_first: bool = False) -> DataFrame:
 
 
 RECORD = "url string, status int, headers array<struct<name:string,value:string>>, content string, error_kind string"
+PAYLOAD = "url string, status int, body binary, error_kind string"
 
 
 def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
@@ -57,6 +58,22 @@ def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of:
 
     All URLs of a host are one task's: that is what the host's limit asks for.
     """
+    schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content", pa.string()), ("error_kind", pa.string())])
+
+    def record(row: dict) -> dict:
+        body = row.pop("body")
+        return row | {"content": None if body is None else body.decode("utf-8", "replace")}
+
+    return _fetch_each(queue, transport, record, RECORD, schema, as_of, origin_first, per_second, sleep)
+
+
+def fetch_payloads(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
+    """Like ``fetch_all``, with the bytes as they came, which may be packed."""
+    schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("body", pa.binary()), ("error_kind", pa.string())])
+    return _fetch_each(queue, transport, lambda row: row, PAYLOAD, schema, as_of, origin_first, per_second, sleep)
+
+
+def _fetch_each(queue: DataFrame, transport, shape: Callable[[dict], dict], columns: str, schema: pa.Schema, as_of: str, origin_first: bool, per_second: int, sleep) -> DataFrame:
     import time
 
     prepare(queue.sparkSession)
@@ -67,11 +84,11 @@ def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of:
         for batch in batches:
             out = []
             for url, copy in zip(batch["url"].to_pylist(), batch["copy"].to_pylist(), strict=True):
-                out.append(_fetch(url, [url, copy] if origin_first else [copy, url], transport, pause))
+                out.append(shape(_fetch(url, [url, copy] if origin_first else [copy, url], transport, pause)))
                 pause(1 / per_second)
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("url", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content", pa.string()), ("error_kind", pa.string())]))
+            yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return cut(rows.repartition("host").select("url", "copy").mapInArrow(work, RECORD))
+    return cut(rows.repartition("host").select("url", "copy").mapInArrow(work, columns))
 
 
 def _fetch(url: str, sources: list[str], transport, pause) -> dict:
@@ -87,8 +104,8 @@ def _fetch(url: str, sources: list[str], transport, pause) -> dict:
         if kind is None:
             shown = url if source != url else found.url
             headers = [{"name": k, "value": v} for k, v in found.headers if isinstance(v, str)]
-            return {"url": shown, "status": status, "headers": headers, "content": found.body.decode("utf-8", "replace"), "error_kind": None}
-    return {"url": url, "status": status, "headers": None, "content": None, "error_kind": kind}
+            return {"url": shown, "status": status, "headers": headers, "body": found.body, "error_kind": None}
+    return {"url": url, "status": status, "headers": None, "body": None, "error_kind": kind}
 
 
 def discovered(lens: Lens, sitemap_urls: DataFrame, feed_urls: DataFrame, index_urls: DataFrame, *, filter_feeds: bool = False) -> DataFrame:
