@@ -161,6 +161,20 @@ def test_packed_sitemap(spark, tmp_path):
     assert "http://a.b/%C3%A9" in [r.url for r in session.find_urls().collect()]
 
 
+def test_redirected_payloads(spark, tmp_path):
+    whole = {
+        "/": b"<link rel='alternate' type='application/rss+xml' href='http://a.b/feed'>",
+        "/robots.txt": b"User-agent: *\nSitemap: http://a.b/map.xml\n",
+        "/map.xml.gz": gzip.compress(b"<urlset><url><loc>http://a.b/page</loc></url></urlset>"),
+        "/feed": b"<rss><channel><item><link>http://other.c/1</link></item></channel></rss>",
+    }
+    pages = {f"http://a.b{path.removesuffix('.gz')}": web.Response(200, f"https://www.a.b{path}", [], body) for path, body in whole.items()}
+    session = cli.Session(spark, lens.Lens("t", domains=["a.b"]), str(tmp_path), transport(pages))
+    info = session.sites(["a.b"]).first()
+    assert info.robots_txt.startswith("User-agent") and info.sitemaps == ["http://a.b/map.xml"] and len(info.feeds) == 1
+    assert {"http://a.b/page", "http://other.c/1"} <= {r.url for r in session.find_urls().collect()}
+
+
 def test_crawl_folder(spark, tmp_path):
     (tmp_path / "in" / "sub").mkdir(parents=True)
     (tmp_path / "in" / "one.html").write_text("<p>one")

@@ -40,9 +40,10 @@ class Session:
         return f"{self.storage}/urls.txt"
 
     def _fetched(self, urls: DataFrame, name: str) -> DataFrame:
-        """name, status and text of payloads, fetched once and kept."""
+        """name (the URL asked for), status and text of payloads, fetched once and kept."""
         got = crawl.fetch_payloads(urls.select(F.col(name).alias("url")), self.transport, as_of=str(datetime.date.today()), origin_first=True)
-        return got.select(F.col("url").alias(name), "status", web.payload_text("url", "body").alias("text"))
+        packed = F.when(F.col("url").endswith(".gz"), F.col("url")).otherwise(F.col("requested"))
+        return got.select(F.col("requested").alias(name), "status", web.payload_text(packed, "body").alias("text"))
 
     def sites(self, domains: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame([(d,) for d in domains], "domain string")

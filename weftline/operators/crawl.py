@@ -49,7 +49,7 @@ def first_success(rows: DataFrame, origin_first: bool = False) -> DataFrame:
 
 
 RECORD = "url string, status int, headers array<struct<name:string,value:string>>, content string, error_kind string"
-PAYLOAD = "url string, status int, body binary, error_kind string"
+PAYLOAD = "requested string, url string, status int, body binary, error_kind string"
 
 
 def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
@@ -68,8 +68,9 @@ def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of:
 
 
 def fetch_payloads(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
-    """Like ``fetch_all``, with the bytes as they came, which may be packed."""
-    schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("body", pa.binary()), ("error_kind", pa.string())])
+    """Like ``fetch_all``, with the URL asked for beside the one that redirects led to, and with the
+    bytes as they came, which may be packed."""
+    schema = pa.schema([("requested", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("body", pa.binary()), ("error_kind", pa.string())])
     return _fetch_each(queue, transport, lambda row: row, PAYLOAD, schema, as_of, origin_first, per_second, sleep)
 
 
@@ -104,8 +105,8 @@ def _fetch(url: str, sources: list[str], transport, pause) -> dict:
         if kind is None:
             shown = url if source != url else found.url
             headers = [{"name": k, "value": v} for k, v in found.headers if isinstance(v, str)]
-            return {"url": shown, "status": status, "headers": headers, "body": found.body, "error_kind": None}
-    return {"url": url, "status": status, "headers": None, "body": None, "error_kind": kind}
+            return {"requested": url, "url": shown, "status": status, "headers": headers, "body": found.body, "error_kind": None}
+    return {"requested": url, "url": url, "status": status, "headers": None, "body": None, "error_kind": kind}
 
 
 def discovered(lens: Lens, sitemap_urls: DataFrame, feed_urls: DataFrame, index_urls: DataFrame, *, filter_feeds: bool = False) -> DataFrame:
