@@ -80,6 +80,12 @@ def test_repeated_ids_and_empty_table(spark):
     assert jaccard.jaccard_components(docs.limit(0)).collect() == []
 
 
+def test_repeated_ids_of_several_classes(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "q r s t u v"), (6, "q r s t u v"), (5, ""), (5, None), (1, "x y"), (8, "x y"), (8, "k l m"), (7, "k l m"), (9, "k l m"), (9, "g h i j"), (10, "g h i j"), (11, "z"), (11, "z"), (None, "z"), (12, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=str) == brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 40)]

@@ -372,11 +372,15 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
         return pairs.join(b, "b").join(a, "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).filter("a <> b")
 
     links = verified(docs, named(stars), text, key)
-    if classes.count() == classes.select("id").distinct().count():
+    repeated = cut(slim.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
+    unique = repeated.isEmpty()
+    if unique:
         # centres have smaller names than what they are paired with, so these links form a forest
         trees = roots(links.groupBy("b").agg(F.min("a").alias("parent")).withColumnRenamed("b", "node"))
-    else:  # documents of several texts: their links need not form one
-        trees = components(links)
+    else:  # documents of several texts link the classes that they are in: these links need not form one
+        held = cut(alive.join(repeated, "id").select("id", "name").distinct().join(classes.select("name", F.col("id").alias("b")), "name").select("id", "b").distinct())
+        least_of = held.groupBy("id").agg(F.min("b").alias("a"))
+        trees = components(links.unionByName(held.join(least_of, "id").filter("a <> b").select("a", "b")).distinct())
 
     tree_of = node.join(trees, node["id"] == trees["node"]).select("short", F.xxhash64("root").alias("tree"))
     tree_of = cut(tree_of.unionByName(node.join(trees.select(F.col("root").alias("id")).distinct(), "id", "left_semi").select("short", F.xxhash64("id").alias("tree"))))
@@ -402,8 +406,11 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     of_node = tops.join(least, "top").groupBy("node").agg(F.min("component_id").alias("component_id"))
     of_name = cut(classes.join(of_node.withColumnRenamed("node", "id"), "id", "left").filter("copies > 1 or component_id is not null").select("name", F.coalesce("component_id", "id").alias("component_id")))
     own = F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    found = slim.join(of_name, "name", "left")
-    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    found = slim.join(of_name, "name", "left").select("id", "n", F.when(F.col("id").isNotNull(), own).alias("component_id"))
+    if not unique:  # rows without words follow the other rows of their document
+        by_id = found.join(repeated, "id").groupBy("id").agg(F.min("component_id").alias("of_id"))
+        found = found.join(by_id, "id", "left").select("id", "n", F.coalesce("of_id", "component_id").alias("component_id"))
+    return found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
 
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
