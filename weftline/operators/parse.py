@@ -2,38 +2,46 @@
 
 from __future__ import annotations
 
-import dataclasses
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from weftline.functions import html
+from weftline.functions.text import blake2s_hex
 from weftline.schemas import PARSED
 from weftline.session import prepare
 
 
-def parse_pages(pages: DataFrame, *, url: str = "url", content: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The kept columns and the fields of the extracted document, a row a page, in place."""
+def _extracted(url: str | None, text: str | None) -> tuple[html.Page, str | None]:
+    """The page, or an empty one and what went wrong: one page must not end a job."""
+    try:
+        return html.extract(url, text), None
+    except Exception as e:
+        return html.Page(url, "", blake2s_hex(""), "", []), f"{type(e).__name__}: {e}"[:200]
+
+
+def parse_pages(pages: DataFrame, *, url: str = "url", content: str = "html", keep: tuple[str, ...] = (), errors: str | None = None) -> DataFrame:
+    """The kept columns and the fields of the extracted document, a row a page, in place; with
+    ``errors``, a column of that name tells why a page could not be read (else null)."""
     prepare(pages.sparkSession)
     rows = pages.select(*keep, F.col(url).alias("__url"), F.col(content).alias("__html"))
-    schema = StructType([*rows.schema.fields[: len(keep)], *PARSED.fields])
+    schema = StructType([*rows.schema.fields[: len(keep)], *PARSED.fields, *([StructField(errors, StringType())] if errors else [])])
     arrow = to_arrow_schema(PARSED)
 
     def work(batches):
         for batch in batches:
-            found = [html.extract(u, h) for u, h in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True)]
+            both = [_extracted(u, h) for u, h in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True)]
+            found = [p for p, _ in both]
             columns = [pa.array([list(p.meta.items()) if f.name == "meta" else getattr(p, f.name) for p in found], f.type) for f in arrow]
+            if errors:
+                columns.append(pa.array([e for _, e in both], pa.string()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
 
     return rows.mapInArrow(work, schema)
 
 
-FIELDS = [f.name for f in dataclasses.fields(html.Page)]
-
-
 def split_body(body):
     """Header lines and content of an archived HTTP message, as built-in functions.
 
