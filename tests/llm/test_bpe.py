@@ -61,6 +61,17 @@ def test_batches_and_long_texts(monkeypatch):
         assert [len(b) // 4 for b in coder.encode_batch(texts)] == list(map(len, want))
 
 
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_words_that_hash_alike(n):
+    from test_jaccard import thue_morse
+
+    texts = [f"z{w}{'c' * 1027}" for w in thue_morse(n)]
+    want = [REAL.encode(t, add_special_tokens=False).ids for t in texts]
+    for order in (texts, texts[::-1], texts[:1], texts[1:], texts):
+        assert [len(b) // 4 for b in OURS.encode_batch(order)] == [len(want[texts.index(t)]) for t in order]
+        assert [b"".join(x.to_bytes(4, "little") for x in want[texts.index(t)]) for t in order] == OURS.encode_batch(order)
+
+
 def merged(words):
     return [OURS.vocabulary.merge(w) for w in words]
 

@@ -6,11 +6,11 @@ built by merges in rank order, no merge across their border comes before the mer
 tests are table look-ups over whole arrays of pairs. Only words with a failing pair are merged
 exactly, all of them side by side, one merge of each word a step.
 
-Words repeat, so each Python worker keeps the ids of recent words (at most ``CACHE_WORDS``; a full
-cache is emptied, which changes speed, never results).
+Words repeat, so each Python worker keeps the ids of recent words (at most ``CACHE_WORDS`` and a block's; a
+full cache is emptied, which changes speed, never results).
 
 Edge cases: null texts count as empty; empty texts have no ids; texts of any length are encoded whole;
-repeated rows are encoded alike; other columns are never read.
+repeated rows are encoded alike; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from tokenizers import Regex, normalizers, pre_tokenizers
 
 from weftline.session import prepare
 
-#: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps, and letters of theirs.
+CACHE_WORDS, CACHE_LETTERS = 400_000, 1 << 23
 #: Words of more bytes are merged one at a time.
 SHORT = 48
 #: Classes of letters.
@@ -311,9 +311,9 @@ class Encoder:
     """Encodes texts by their distinct words, which are found and told apart by array operations.
 
     Texts whose letters, also in lower case, all lie below ``LATIN_END`` and that hold no special
-    token are cut by a table of letter classes; a word is known by a 64-bit hash together with its
-    length and three of its letters. Other texts are normalised and cut by the tokenizers library
-    and encoded by the same vocabulary.
+    token are cut by a table of letter classes; a word is looked up by a 64-bit hash and compared with
+    the known one letter by letter. Other texts, and those in which two words have one hash, are
+    normalised and cut by the tokenizers library and encoded by the same vocabulary.
     """
 
     #: Letters hashed at a time.
@@ -337,7 +337,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.checks, self.spots = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.keys, self.spots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.letters, self.places, self.sizes = np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.counts, self.tokens = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _cut(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -362,25 +363,29 @@ class Encoder:
         ends = marks[np.searchsorted(marks, starts, side="right")]
         return starts, ends
 
+    @staticmethod
+    def _same(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, places: np.ndarray, wanted: np.ndarray) -> bool:
+        """Whether words of one array are, letter by letter, those of another."""
+        return bool((sizes == wanted).all() and (code[ragged(starts, sizes)] == other[ragged(places, wanted)]).all())
+
     def _numbers(self, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The place of each word among the known ones; new words are encoded first."""
         sums = np.zeros(len(code) + 1, dtype=np.uint64)
         np.cumsum(self.letter[code] * self.powers[: len(code)], out=sums[1:])
         key = (sums[ends] - sums[starts]) * self.unpowers[starts]
         size = ends - starts
-        check = size.astype(np.uint64)
-        for at in (starts, ends - 1, (starts + ends) // 2):
-            check = (check << np.uint64(10)) | code[at]
         unique, index, back = np.unique(key, return_index=True, return_inverse=True)
-        if (check != check[index][back]).any():
+        if not self._same(code, starts, size, code, starts[index][back], size[index][back]):
             raise ArithmeticError("two words have one hash")
         at = np.minimum(np.searchsorted(self.keys, unique), max(0, len(self.keys) - 1))
         new = self.keys[at] != unique if len(self.keys) else np.ones(len(unique), dtype=bool)
-        if (self.checks[at[~new]] != check[index[~new]]).any():
+        old = at[~new]
+        if not self._same(code, starts[index[~new]], size[index[~new]], self.letters, self.places[old], self.sizes[old]):
             raise ArithmeticError("two words have one hash")
         if new.any():
             index = index[new]
-            letters = code[ragged(starts[index], size[index])].astype(np.int64)
+            own = code[ragged(starts[index], size[index])]
+            letters = own.astype(np.int64)
             wide = letters >= 128
             spot = np.cumsum(1 + wide) - (1 + wide)
             flat = np.zeros(int((1 + wide).sum()), dtype=np.uint8)
@@ -394,7 +399,10 @@ class Encoder:
             keys = np.concatenate([self.keys, unique[new]])
             order = np.argsort(keys)
             self.keys = keys[order]
-            self.checks = np.concatenate([self.checks, check[index]])[order]
+            places = len(self.letters) + np.cumsum(size[index]) - size[index]
+            self.places = np.concatenate([self.places, places])[order]
+            self.sizes = np.concatenate([self.sizes, size[index]])[order]
+            self.letters = np.concatenate([self.letters, own])
             self.spots = np.concatenate([self.spots, spots])[order]
             self.counts = np.concatenate([self.counts, counts])[order]
             at = np.searchsorted(self.keys, unique)
@@ -402,7 +410,7 @@ class Encoder:
 
     def _block(self, texts: list[str]) -> list[bytes]:
         """Ids of texts that are short together."""
-        if len(self.keys) > CACHE_WORDS:
+        if len(self.keys) > CACHE_WORDS or len(self.letters) > CACHE_LETTERS:
             self.forget()
         joined = "\n" + "\n".join(texts) + "\n"
         code = np.frombuffer(joined.lower().encode("utf-16-le"), dtype=np.uint16)
