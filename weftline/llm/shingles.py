@@ -13,7 +13,9 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_LETTER = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Seed of the keys that words are hashed with.
+SEED = 77
+_PLUS = np.arange(1, 257, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -24,36 +26,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse modulo 2^64, as far as needed."""
+class _Keys:
+    """Random 64-bit keys by place in a word, as many as needed. A word's hash is the sum of its letters
+    times the keys of their places: for any two different words, about one choice of keys in 2^56 makes
+    them equal, whatever their length."""
 
     def __init__(self) -> None:
-        self.size = 0
+        self.keys = np.zeros(0, dtype=np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.size:
-            self.size = max(n, BLOCK + 1)
-            self.up = np.cumprod(np.full(self.size, _BASE, dtype=np.uint64))
-            self.down = np.cumprod(np.full(self.size, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
-        return self.up, self.down
+    def upto(self, n: int) -> np.ndarray:
+        if n > len(self.keys):
+            self.keys = np.random.PCG64(SEED).random_raw(max(n, 2 * len(self.keys), 1024))
+        return self.keys
 
 
-_POWERS = _Powers()
+_KEYS = _Keys()
 
 
 def _block(texts: list[bytes]) -> list[np.ndarray]:
     flat = _LOWER[np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", dtype=np.uint8)]
-    up, down = _POWERS.upto(len(flat) + 1)
     blank = _BLANK[flat]
     starts = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
     ends = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-    sums = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(_LETTER[flat] * up[: len(flat)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * down[starts])
+    words = np.zeros(0, dtype=np.uint64)
+    if len(starts):
+        longest = int((ends - starts).max())
+        gaps = np.diff(starts, append=len(flat))
+        place = np.zeros(len(flat), dtype=np.int32)
+        place[starts[0] :] = np.arange(len(flat) - starts[0], dtype=np.int32) - np.repeat((starts - starts[0]).astype(np.int32), gaps)
+        keyed = _KEYS.upto(longest + 1).take(place, mode="clip")
+        keyed *= _PLUS.take(flat)
+        sums = np.cumsum(keyed, out=keyed)
+        words = mix(sums[ends - 1] - sums[starts - 1])
     n = len(words)
     rolled = np.zeros(max(0, n - WORDS + 1), dtype=np.uint64)
     for i in range(WORDS):
-        rolled = rolled * np.uint64(_BASE) + words[i : n - WORDS + 1 + i]
+        rolled = rolled * np.uint64(_BASE) + words[i : i + len(rolled)]
     rolled = mix(rolled + np.uint64(WORDS))
     edges = np.searchsorted(starts, np.cumsum([1 + len(t) for t in texts])).tolist()
     found = []
@@ -84,3 +92,9 @@ def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
         block.append(t)
         size += len(t) + 1
     return found + (_block(block) if block else [])
+
+
+def word_shingles(text: str) -> set[tuple[bytes, ...]]:
+    """The set of one text, of the words themselves."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return {tuple(words[i : i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
