@@ -63,6 +63,7 @@ def test_jaccard(spark, small, monkeypatch):
     if small:  # frequent columns are cut into parts
         levels = jaccard.sketch_levels
         monkeypatch.setattr(jaccard, "COLUMN", 3)
+        monkeypatch.setattr(components, "ONE_TASK", 0)
         monkeypatch.setattr(jaccard, "sketch_levels", lambda first: np.maximum(levels(first), np.arange(jaccard.SKETCH) % 3 * 12).astype(np.uint8))
     texts = corpus()
     ids = list(range(len(texts)))
@@ -86,7 +87,70 @@ def test_repeated_ids_of_several_classes(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()), key=str) == brute(rows)
 
 
-def test_components(spark):
+def thue_morse(n):
+    """Two strings of n letters that polynomial hashes modulo 2^64 take for one, whatever their odd base."""
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s, s.translate(str.maketrans("ab", "ba"))
+
+
+def product(rows):
+    """Components by the whole incidence matrix, for rows with unique ids and words in each."""
+    number, sets = {}, [sets_of(t) for _, t in rows]
+    m = np.zeros((len(rows), len(set().union(*sets))), dtype=np.float32)
+    for i, s in enumerate(sets):
+        m[i, [number.setdefault(g, len(number)) for g in s]] = 1
+    n, common = m.sum(1), m @ m.T
+    link = 100 * common >= 80 * (n[:, None] + n - common)
+    label = np.array([k for k, _ in rows])
+    while True:
+        after = np.where(link, label, 1 << 60).min(1)
+        if (after == label).all():
+            return sorted((k, len(s), int(x)) for (k, _), s, x in zip(rows, sets, label, strict=True))
+        label = after
+
+
+@pytest.mark.parametrize(("count", "length", "small"), [(2000, 40, False), (400, 60, True)])
+def test_large_groups_of_near_copies(spark, count, length, small, monkeypatch):
+    if small:
+        for name, value in (("LIST", 6), ("PART_SETS", 40), ("PART_SHINGLES", 1500), ("COLUMN", 10)):
+            monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(count)
+    base = [f"v{i}" for i in range(length)]
+    texts = []
+    for i in range(count):  # many pairs lie around the threshold; some sets are much smaller
+        t = list(base)
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(length)] = f"u{rng.randrange(30)}"
+        texts.append(" ".join(t[: length - rng.choice([0, 0, 0, 3, 12])]))
+    x, y = thue_morse(1024)
+    for w in (f"z{x}{'c' * 1027}", f"z{y}{'c' * 1027}"):
+        texts += [w, f"x y {w} z w"]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = product(rows)
+    assert len({c for _, _, c in want}) > 5
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()) == want
+
+
+@pytest.mark.parametrize("dense", [1, 10, 10_000])
+def test_overlaps(dense, monkeypatch):
+    monkeypatch.setattr(jaccard, "DENSE", dense)
+    monkeypatch.setattr(jaccard, "COLUMNS", 3)
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50)).astype(np.uint64)) for _ in range(40)]
+    for left, right in ((np.arange(15), np.arange(15, 40)), (np.arange(40), np.arange(40))):
+        assert jaccard._overlaps(sets, left, right).tolist() == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]
+    links = rng.integers(0, 30, (2, 40))
+    some = jaccard._joining(*links, 30)
+    joined = [components.forest(*(x[some] for x in links)), components.forest(*links)]
+    assert all((a == b).all() for a, b in zip(*joined, strict=True)) and len(some) == len(joined[0][0])
+
+
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_components(spark, one_task, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     rng = random.Random(3)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 200 + i) for i in range(1, 40)]
     parent = {}
@@ -113,3 +177,7 @@ def test_shingles():
     again = shingles.shingle_sets(texts[::-1])[::-1]
     assert all((a == b).all() for a, b in zip(got, again, strict=True))
     assert len(np.intersect1d(shingles.shingle_sets(["a b c d e f"])[0], got[4])) == 2
+    assert [len(shingles.shingle_sets([" ".join("abcdef"[:n])])[0]) for n in range(7)] == [0, 1, 1, 1, 1, 1, 2]
+    assert [len(shingles.word_shingles(t or "")) for t in texts] == [len(sets_of(t)) for t in texts]
+    x, y = thue_morse(2048)
+    assert len(np.unique(np.concatenate(shingles.shingle_sets([x, y])))) == 2
