@@ -1,4 +1,6 @@
 import gzip
+import io
+import tracemalloc
 import random
 
 import pytest
@@ -35,7 +37,35 @@ def test_ron_lens():
 def test_warc_round_trip(rows):
     data = warc.to_bytes(rows)
     for raw in (data, gzip.compress(data), b"".join(gzip.compress(warc.to_bytes([r])) for r in rows)):
-        assert [(r[2], r[5].decode()) for r in warc.records(warc.inflate(raw))] == rows
+        for step in (1, 7, 1 << 20):
+            pieces = (raw[i : i + step] for i in range(0, len(raw), step))
+            assert [(r[2], r[5].decode()) for r in warc.records(warc.inflated(io.BytesIO(raw)) if raw[:2] == warc.GZIP else pieces)] == rows
+
+
+def test_large_warc_is_read_piece_by_piece(tmp_path):
+    path = tmp_path / "large.warc.gz"
+    with open(path, "wb") as f:
+        for i in range(120):  # members of two records, 240 MB in all
+            f.write(gzip.compress(warc.to_bytes([(f"http://a.b/{i}", "x" * 1_000_000), (f"http://a.b/{i}b", "y" * 1_000_000)]), 1))
+    tracemalloc.start()
+    with open(path, "rb") as f:
+        assert sum(len(r[5]) for r in warc.records(warc.inflated(f))) == 240_000_000
+        f.seek(0)
+        assert [len(x) for x in warc._frames(warc.records(warc.inflated(f)), 5_000_000)] == [5] * 48
+    assert tracemalloc.get_traced_memory()[1] < 40_000_000
+    tracemalloc.stop()
+
+
+def test_damaged_places():
+    good = warc.to_bytes([("http://a.b/", "one"), ("http://a.b/2", "two" * 3000)])
+    packed = gzip.compress(good) + gzip.compress(good)
+    assert len(list(warc.records(warc.inflated(io.BytesIO(packed))))) == 4
+    cut = list(warc.records(warc.inflated(io.BytesIO(packed[:-40]))))
+    assert [r[6] for r in cut[:2]] == [False, False] and len(cut) <= 4 and sum(not r[6] for r in cut) >= 2
+    assert [r[6] for r in warc.records([b"junk WARC/1.1 no end"])] == [True]
+    assert [r[6] for r in warc.records([b"WARC/1.1\r\nContent-Length: 99999999999\r\n\r\n", good])] == [True, False, False]
+    assert [r[6] for r in warc.records([b"WARC/" + b"x" * (2 << 20), b"\n\n", good])] == [True, False, False]
+    assert list(warc.records([])) == [] == list(warc.inflated(io.BytesIO(b"")))
 
 
 def test_damaged_warc(spark, tmp_path):
@@ -114,10 +144,113 @@ def transport(pages):
 def test_retries():
     naps = []
     pages = {"u": [web.Response(503, "u"), web.Response(429, "u"), web.Response(200, "u")], "gone": web.Response(404, "gone")}
-    assert web.with_retries(transport(pages), "u", web.backoff_delays(), sleep=naps.append).status == 200 and naps == [0.1, 5.0]
+    assert web.with_retries(transport(pages), "u", web.backoff_delays(), sleep=naps.append).status == 200 and naps == [0.1, 10.0]  # a 429 asks for 5 s, then comes the delay
     assert web.with_retries(transport(pages), "gone", web.backoff_delays(), sleep=naps.append).status == 404 and len(naps) == 2
 
 
+def test_what_a_server_asks_to_wait():
+    naps = []
+    answers = [web.Response(429, "u", [("Retry-After", "7")]), web.Response(429, "u", [("retry-after", "soon")]), web.Response(429, "u"), web.Response(200, "u")]
+    assert web.with_retries(transport({"u": answers}), "u", [1, 2, 3], sleep=naps.append).status == 200
+    assert naps == [7.001, 5.002, 5.003]
+    assert web.wait_asked_ms(web.Response(429, "u", [("Retry-After", "7")]), "ms") == 7 and web.wait_asked_ms(web.Response(503, "u", [("Retry-After", "7")])) == 0
+
+
+def server():
+    """A transport with a clock of its own; the content is the time of the request."""
+
+    class Server:
+        time = 0.0
+
+        def sleep(self, seconds):
+            self.time += seconds
+
+        def clock(self):
+            return self.time
+
+        def fetch(self, url):
+            self.time += 0.01
+            return web.Response(200, url, [], f"{self.time:.3f}".encode())
+
+    return Server()
+
+
+def test_hosts_are_asked_by_turns(spark):
+    made = server()
+    urls = [(f"http://{h}.x/{i}",) for h in "abc" for i in range(5)]
+    got = crawl.fetch_all(spark.createDataFrame(urls, "url string").coalesce(1), made.fetch, as_of="2024-01-01", origin_first=True, per_second=2, sleep=made.sleep, clock=made.clock).collect()
+    times = {}
+    for r in got:
+        times.setdefault(r.url.split("/")[2], []).append(float(r.content))
+    for found in times.values():
+        found.sort()
+        assert len(found) == 5 and all(b - a >= 0.5 - 1e-6 for a, b in zip(found, found[1:]))
+    assert max(map(max, times.values())) < 2.2  # the hosts of a task wait together, not one after the other
+    assert crawl.by_turns(["a", "a", "b", None, "a", "b"]) == [0, 2, 3, 1, 5, 4]
+
+
+def test_cache_keeps_the_last_row_of_a_url(spark):
+    none = F.array().cast("array<struct<name:string,value:string>>")
+    rows = spark.createDataFrame([("http://a/", 500, 1), ("http://a/", 200, 2), ("http://b/", 200, 1), ("http://b/", 404, 3)], "url string, status int, fetched_at int").withColumn("headers", none)
+    keyed = rows.withColumn("key", F.xxhash64("url"))
+    assert sorted((r.url, r.status) for r in crawl.cached(keyed).collect()) == [("http://a/", 200), ("http://b/", 404)]
+    assert crawl.cached(keyed.limit(0)).collect() == []
+
+
+def test_commands(spark, tmp_path, capsys):
+    """The commands one after the other, with pages from memory and one that fails at first."""
+    root = str(tmp_path)
+    pages = {
+        "http://a.b/": "<html><head><title>front</title></head><body>front</body></html>",
+        "http://a.b/robots.txt": "Sitemap: http://a.b/map.xml\n",
+        "http://a.b/sitemap.xml": None,
+        "http://a.b/map.xml": "<urlset>" + "".join(f"<url><loc>http://a.b/p{i}</loc></url>" for i in range(1100)) + "<url><loc>http://other.c/x</loc></url></urlset>",
+    }
+    (tmp_path / "t.ron").write_text(lens.dump(lens.Lens("t", domains=["a.b"])))
+
+    def run(*args, transport):
+        cli.main(["-l", f"{root}/t.ron", *args], spark=spark, root=root, transport=transport)
+        return capsys.readouterr().out
+
+    listed = run("check-urls", transport=transport(pages))
+    assert listed.split() == sorted(["http://a.b/", *(f"http://a.b/p{i}" for i in range(1100))])
+    (tmp_path / "archives/t/urls.txt").exists()
+    assert "front" not in run("check-domain", "a.b", transport=transport(pages))
+
+    few = [f"http://a.b/p{i}" for i in range(4)]
+    spark.createDataFrame([(u,) for u in few], "url string").coalesce(1).write.mode("overwrite").text(f"{root}/archives/t/urls.txt")
+    answers = {u: f"<html><head><link rel=canonical href='{u}'></head><body>page {u[-1]}</body></html>" for u in few}
+    session = cli.Session(spark, lens.Lens("t", domains=["a.b"]), root, transport(answers | {few[3]: None}))
+    session.crawl(origin_first=True, per_second=1000)
+    assert sorted(r.url for r in session.cache().filter("error_kind is null").collect()) == few[:3]
+    session.transport = transport({few[3]: answers[few[3]]})  # only what is missing is asked for again
+    files = session.crawl(origin_first=True, per_second=1000)
+    assert sorted(r.url for r in session.cache().filter("error_kind is null").collect()) == few
+    assert sorted(r.content for r in parsed.read_parsed(spark, files.parsed).collect()) == [f"page {i}" for i in range(4)]
+    assert "true" in run("validate", transport=transport({}))
+    cli.upload(spark, files.parsed, f"{root}/bucket/parsed.gz")
+    assert parsed.read_parsed(spark, f"{root}/bucket/parsed.gz").count() == 4
+    cli.clean(root)
+    assert not (tmp_path / "tmp").exists() and (tmp_path / "archives").exists()
+
+
+def test_index_pages(spark):
+    from urllib.parse import parse_qs, urlsplit
+
+    def fetch(url):
+        asked = parse_qs(urlsplit(url).query)
+        key, below = int(asked.get("resumeKey", ["0"])[0]), asked["url"][0]
+        if key == 3 or "none" in below:
+            raise OSError("gone")
+        urls = [f"http://{below}/{key}-{i}" for i in range(1000 if "long" in below else 2)]
+        return web.Response(200, url, [], "\n".join([*urls, "", str(key + 1)] if "long" in below else urls).encode())
+
+    prefixes = spark.createDataFrame([("long.x",), ("short.x",), ("none.x",), ("short.x",)], "prefix string")
+    got = web.index_urls(prefixes, fetch, 2024, sleep=lambda s: None)
+    assert {r["prefix"]: r["count"] for r in got.groupBy("prefix").count().collect()} == {"long.x": 3000, "short.x": 2}
+    assert got.select("url").distinct().count() == 3002
+
+
 def test_unsafe_xml(spark):
     bomb = "<!DOCTYPE x [<!ENTITY a 'b'>]><urlset><url><loc>&a;</loc></url></urlset>"
     rows = spark.createDataFrame([(bomb,), ("<urlset><url><loc>u</loc></url><url",), (None,), ("",)], "t string")

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import argparse
 import datetime
+import gzip
+import http.client
 import os
 import shutil
 import urllib.error
 import urllib.request
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,20 +22,55 @@ from weftline.session import builder, prepare
 from weftline.sources import parsed, warc, web
 
 
-def http(url: str) -> web.Response:
-    """The network transport."""
-    request = urllib.request.Request(url, headers={"User-Agent": "weftline/0.1", "Accept-Encoding": "identity"})
+class _Slow(http.client.HTTPConnection):
+    """A connection that is refused early and read patiently."""
+
+    def connect(self) -> None:
+        self.timeout = web.CONNECT_SECONDS
+        super().connect()
+        self.sock.settimeout(web.TOTAL_SECONDS)
+
+
+class _SlowTls(_Slow, http.client.HTTPSConnection):
+    pass
+
+
+class _Opened(urllib.request.HTTPHandler):
+    def http_open(self, request):
+        return self.do_open(_Slow, request)
+
+
+class _OpenedTls(urllib.request.HTTPSHandler):
+    def https_open(self, request):
+        return self.do_open(_SlowTls, request)
+
+
+def fetch(url: str) -> web.Response:
+    """The network transport: gzip on the way, ``CONNECT_SECONDS`` to connect, ``TOTAL_SECONDS`` to read."""
+    request = urllib.request.Request(url, headers={"User-Agent": "weftline/0.1", "Accept-Encoding": "gzip"})
+
+    def answer(r, status: int, url: str) -> web.Response:
+        body = r.read()
+        if r.headers.get("Content-Encoding", "").lower() == "gzip":
+            try:
+                body = gzip.decompress(body)
+            except (OSError, EOFError, zlib.error) as e:
+                raise OSError(f"damaged answer from {url}") from e
+        return web.Response(status, url, list(r.headers.items()), body)
+
     try:
-        with urllib.request.urlopen(request, timeout=web.TOTAL_SECONDS) as r:
-            return web.Response(r.status, r.url, list(r.headers.items()), r.read())
+        with urllib.request.build_opener(_Opened, _OpenedTls).open(request, timeout=web.TOTAL_SECONDS) as r:
+            return answer(r, r.status, r.url)
     except urllib.error.HTTPError as e:
-        return web.Response(e.code, url, list(e.headers.items()), e.read())
+        return answer(e, e.code, url)
+    except http.client.HTTPException as e:
+        raise OSError(str(e)) from e
 
 
 class Session:
     """A lens, the folders of its archive, and a transport."""
 
-    def __init__(self, spark: SparkSession, rules: lens.Lens, root: str = ".", transport: web.Transport = http) -> None:
+    def __init__(self, spark: SparkSession, rules: lens.Lens, root: str = ".", transport: web.Transport = fetch) -> None:
         self.spark, self.lens, self.transport = prepare(spark), rules, transport
         self.storage, self.spool = f"{root}/archives/{rules.name}", f"{root}/tmp/{rules.name}"
 
@@ -59,28 +97,11 @@ class Session:
         items = web.feed_items(feeds.join(self._fetched(feeds.select("url"), "url"), "url").select("feed_type", "text"))
         none = self.spark.createDataFrame([], "url string")
         found = crawl.discovered(self.lens, mapped, items, none)
-        bare = [r.domain for r in info.filter(F.size("sitemaps") == 0).select("domain").distinct().collect()]
-        prefixes = self.spark.createDataFrame([(p,) for p in self.lens.prefixes()], "prefix string")
-        thin = [r.prefix for r in lens.thin_prefixes(found, prefixes).collect()]
-        listed = [(u,) for p in dict.fromkeys([*bare, *thin]) for u in self.index(p)]
-        return crawl.discovered(self.lens, mapped, items, self.spark.createDataFrame(listed, "url string"))
-
-    def index(self, prefix: str) -> list[str]:
-        """URLs that the archive index has below a prefix, page by page; what was read before an error stays."""
-        from urllib.parse import urlencode
-
-        found, key, year = [], None, (datetime.date.today() - datetime.timedelta(weeks=52)).year
-        while True:
-            try:
-                got = web.with_retries(self.transport, "https://web.archive.org/cdx/search/cdx?" + urlencode(web.cdx_query(prefix, year, resume_key=key)), web.backoff_delays(1000, 3, None))
-            except OSError:
-                return found
-            if got.status >= 400:
-                return found
-            urls, key = web.cdx_page(got.body.decode("utf-8", "replace"))
-            found += urls
-            if key is None:
-                return found
+        bare = info.filter(F.size("sitemaps") == 0).select(F.col("domain").alias("prefix"))
+        thin = lens.thin_prefixes(found, self.spark.createDataFrame([(p,) for p in self.lens.prefixes()], "prefix string")).select("prefix")
+        year = (datetime.date.today() - datetime.timedelta(weeks=52)).year
+        listed = web.index_urls(bare.unionByName(thin), self.transport, year)
+        return crawl.discovered(self.lens, mapped, items, listed.select("url"))
 
     def crawl(self, origin_first: bool = False, per_second: int = 2) -> archive.ArchiveFiles:
         if os.path.exists(self.url_list()):
@@ -88,12 +109,17 @@ class Session:
         else:
             urls = self.find_urls()
             crawl.write_url_list(urls, self.url_list())
-        done = self.spark.read.parquet(self.spool) if os.path.exists(self.spool) else self.spark.createDataFrame([], crawl.RECORD)
+        done = self.cache() if os.path.exists(self.spool) else self.spark.createDataFrame([], crawl.RECORD)
         queue = crawl.still_to_fetch(urls, done.filter("error_kind is null"))
-        crawl.fetch_all(queue, self.transport, as_of=str(datetime.date.today()), origin_first=origin_first, per_second=per_second).write.mode("append").parquet(self.spool)
-        records = self.spark.read.parquet(self.spool).filter("error_kind is null").dropDuplicates(["url"])
+        got = crawl.fetch_all(queue, self.transport, as_of=str(datetime.date.today()), origin_first=origin_first, per_second=per_second)
+        crawl.cache_rows(got).write.mode("append").parquet(self.spool)
+        records = self.cache().filter("error_kind is null").select(*got.columns)
         return archive.create_archives(records.withColumn("seq", F.col("url")), self.storage)
 
+    def cache(self) -> DataFrame:
+        """What was fetched in any run, the last answer of each URL."""
+        return crawl.cached(self.spark.read.parquet(self.spool))
+
     def validate(self) -> DataFrame:
         if not os.path.exists(self.url_list()):
             raise FileNotFoundError(f"{self.url_list()} is missing: run check-urls or crawl first")
@@ -122,7 +148,12 @@ def upload(spark: SparkSession, source: str, target: str) -> None:
     fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
 
 
-def main(argv: list[str] | None = None) -> None:
+def clean(root: str = ".") -> None:
+    """Remove what crawls have kept below a root; archives stay."""
+    shutil.rmtree(f"{root}/tmp", ignore_errors=True)
+
+
+def main(argv: list[str] | None = None, *, spark: SparkSession | None = None, root: str = ".", transport: web.Transport = fetch) -> None:
     top = argparse.ArgumentParser(prog="weftline", description=__doc__)
     top.add_argument("-l", "--lens-file")
     top.add_argument("-s", "--s3-bucket", help="also copy archives below this URI")
@@ -137,23 +168,24 @@ def main(argv: list[str] | None = None) -> None:
             print(html.extract("https://example.com", f.read()))
         return
     if given.command == "clean":
-        shutil.rmtree("tmp", ignore_errors=True)
+        clean(root)
         return
-    spark = builder().getOrCreate()
+    spark = spark or builder().getOrCreate()
     if given.command == "preprocess":
         parsed.write_parsed(archive.preprocess(spark, given.warc), os.path.join(os.path.dirname(given.warc) or ".", "parsed.gz"))
     elif given.command == "crawl-folder":
         print(crawl_folder(spark, given.base_url, given.output, given.folder))
     elif given.command == "check-domain":
-        Session(spark, lens.Lens("check")).sites([given.domain]).show(truncate=False)
+        Session(spark, lens.Lens("check"), root, transport).sites([given.domain]).show(truncate=False)
     else:
         if not given.lens_file:
             top.error("a lens file is needed")
-        session = Session(spark, lens.read(given.lens_file, lambda u: http(u).body.decode()))
+        session = Session(spark, lens.read(given.lens_file, lambda u: transport(u).body.decode()), root, transport)
         if given.command == "check-urls":
             found = session.find_urls()
             crawl.write_url_list(found, session.url_list())
-            found.orderBy("url").show(1000, truncate=False)
+            for row in found.orderBy("url").toLocalIterator():
+                print(row.url)
         elif given.command == "validate":
             session.validate().show()
         else:
@@ -177,7 +209,7 @@ def register_sql(spark: SparkSession, views: dict[str, DataFrame] | None = None)
         frame.createOrReplaceTempView(name)
 
 
-__all__ = ["Session", "crawl_folder", "main", "parse", "register_sql", "upload"]
+__all__ = ["Session", "clean", "crawl_folder", "fetch", "main", "parse", "register_sql", "upload"]
 
 if __name__ == "__main__":
     main()

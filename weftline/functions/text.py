@@ -41,3 +41,8 @@ def gunzip_text(data: bytes) -> str | None:
         return gzip.decompress(data).decode("utf-8")
     except (OSError, EOFError, UnicodeDecodeError, zlib.error):
         return None
+
+
+def compression(before: Column, after: Column) -> Column:
+    """Per cent of ``before`` bytes that are saved; 0 of none."""
+    return F.when(before > 0, 100 * (before - after) / before).otherwise(F.lit(0.0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -48,15 +49,19 @@ def first_success(rows: DataFrame, origin_first: bool = False) -> DataFrame:
     return rows.select("url", source.alias("source"), status.alias("status"))
 
 
+LOG = logging.getLogger(__name__)
+#: Fetched URLs of a task between two log lines.
+REPORT_EVERY = 100
 RECORD = "url string, status int, headers array<struct<name:string,value:string>>, content string, error_kind string"
 PAYLOAD = "requested string, url string, status int, body binary, error_kind string"
 
 
-def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
+def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None, clock=None) -> DataFrame:
     """Fetch URLs host by host and politely, and keep the results: they are written to the shared
     folder at once, since fetching again would be a side effect. Errors are rows.
 
-    All URLs of a host are one task's: that is what the host's limit asks for.
+    All URLs of a host are one task's: that is what the host's limit asks for. A task takes its hosts by
+    turns and waits only where the next URL's host was asked less than a turn ago.
     """
     schema = pa.schema([("url", pa.string()), ("status", pa.int32()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("content", pa.string()), ("error_kind", pa.string())])
 
@@ -64,32 +69,66 @@ def fetch_all(queue: DataFrame, transport: Callable[[str], Response], *, as_of:
         body = row.pop("body")
         return row | {"content": None if body is None else body.decode("utf-8", "replace")}
 
-    return _fetch_each(queue, transport, record, RECORD, schema, as_of, origin_first, per_second, sleep)
+    return _fetch_each(queue, transport, record, RECORD, schema, as_of, origin_first, per_second, sleep, clock)
 
 
-def fetch_payloads(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None) -> DataFrame:
+def fetch_payloads(queue: DataFrame, transport: Callable[[str], Response], *, as_of: str, origin_first: bool = False, per_second: int = 2, sleep=None, clock=None) -> DataFrame:
     """Like ``fetch_all``, with the URL asked for beside the one that redirects led to, and with the
     bytes as they came, which may be packed."""
     schema = pa.schema([("requested", pa.string()), ("url", pa.string()), ("status", pa.int32()), ("body", pa.binary()), ("error_kind", pa.string())])
-    return _fetch_each(queue, transport, lambda row: row, PAYLOAD, schema, as_of, origin_first, per_second, sleep)
+    return _fetch_each(queue, transport, lambda row: row, PAYLOAD, schema, as_of, origin_first, per_second, sleep, clock)
 
 
-def _fetch_each(queue: DataFrame, transport, shape: Callable[[dict], dict], columns: str, schema: pa.Schema, as_of: str, origin_first: bool, per_second: int, sleep) -> DataFrame:
+def by_turns(hosts: list[str | None]) -> list[int]:
+    """Places in an order that takes one of each host, then the next of each, and so on."""
+    seen: dict[str | None, int] = {}
+    turns = []
+    for host in hosts:
+        turns.append(seen.setdefault(host, 0))
+        seen[host] += 1
+    return sorted(range(len(hosts)), key=turns.__getitem__)
+
+
+def _fetch_each(queue: DataFrame, transport, shape: Callable[[dict], dict], columns: str, schema: pa.Schema, as_of: str, origin_first: bool, per_second: int, sleep, clock) -> DataFrame:
     import time
 
     prepare(queue.sparkSession)
     rows = queue.withColumn("host", U.host(F.col("url"))).withColumn("copy", U.archive_copy(F.col("url"), F.to_date(F.lit(as_of))))
     pause = time.sleep if sleep is None else sleep
+    now = time.monotonic if clock is None else clock
 
     def work(batches):
+        free: dict[str | None, float] = {}  # when a host may be asked again
+        done = 0
         for batch in batches:
             out = []
-            for url, copy in zip(batch["url"].to_pylist(), batch["copy"].to_pylist(), strict=True):
-                out.append(shape(_fetch(url, [url, copy] if origin_first else [copy, url], transport, pause)))
-                pause(1 / per_second)
+            hosts, urls, copies = (batch[k].to_pylist() for k in ("host", "url", "copy"))
+            began = now()
+            free = {h: t for h, t in free.items() if t > began}
+            for i in by_turns(hosts):
+                if (wait := free.get(hosts[i], 0) - now()) > 0:
+                    pause(wait)
+                free[hosts[i]] = now() + 1 / per_second
+                out.append(shape(_fetch(urls[i], [urls[i], copies[i]] if origin_first else [copies[i], urls[i]], transport, pause)))
+                done += 1
+                if done % REPORT_EVERY == 0:
+                    LOG.info("%d URLs fetched", done)
             yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return cut(rows.repartition("host").select("url", "copy").mapInArrow(work, columns))
+    return cut(rows.repartition("host").select("host", "url", "copy").mapInArrow(work, columns))
+
+
+def cache_rows(records: DataFrame) -> DataFrame:
+    """Rows for the crawl cache: with ``key``, the 64-bit hash of their URL, and ``fetched_at``."""
+    return records.withColumn("key", F.xxhash64("url")).withColumn("fetched_at", F.current_timestamp())
+
+
+def cached(rows: DataFrame, *, by: str = "fetched_at") -> DataFrame:
+    """The crawl cache as it is read: of each URL the row that was written last, and of rows of one time
+    the first by content. Appending a row thus replaces its URL's; inputs are never deleted."""
+    others = [c for c in rows.columns if c not in ("key", by, "url")]
+    order = F.struct(F.col(by), -F.xxhash64(*others) if others else F.lit(0))
+    return rows.groupBy("key", "url").agg(F.max_by(F.struct(by, *others), order).alias("__row")).select("key", "url", "__row.*")
 
 
 def _fetch(url: str, sources: list[str], transport, pause) -> dict:

@@ -46,9 +46,9 @@ def write_parsed(docs: DataFrame, path: str, format: str = "ron") -> None:
     """One gzip line a document."""
     rows = docs.select(*WRITTEN.names)
     if format == "json":
-        rows.write.option("compression", "gzip").json(path)
+        rows.write.mode("overwrite").option("compression", "gzip").json(path)
     else:
-        rows.select(to_ron(F.struct(*WRITTEN.names)).alias("value")).write.option("compression", "gzip").text(path)
+        rows.select(to_ron(F.struct(*WRITTEN.names)).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
 
 
 def read_parsed(spark: SparkSession, path: str, *, format: str | None = None, stop_at_first_error: bool = False) -> DataFrame:

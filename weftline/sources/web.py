@@ -7,12 +7,14 @@ damaged XML gives what was read before the damage.
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
@@ -176,6 +178,33 @@ def cdx_page(text: str, limit: int = CDX_PAGE) -> tuple[list[str], str | None]:
     return lines[:limit], lines[-1] if len(lines) > limit else None
 
 
+def index_urls(prefixes: DataFrame, transport: Transport, year: int, *, sleep=time.sleep) -> DataFrame:
+    """prefix and url of what the archive index has below each prefix since a year, page by page. A prefix is
+    one task's, since a page names the next; what was read before an error stays. The rows are kept in
+    the shared folder at once, since asking again would be a side effect."""
+    from urllib.parse import urlencode
+
+    def work(batches):
+        for batch in batches:
+            for prefix in batch.column(0).to_pylist():
+                key = None
+                while True:
+                    query = "https://web.archive.org/cdx/search/cdx?" + urlencode(cdx_query(prefix, year, resume_key=key))
+                    try:
+                        got = with_retries(transport, query, backoff_delays(1000, 3, None), sleep=sleep)
+                    except OSError:
+                        break
+                    if got.status >= 400:
+                        break
+                    urls, key = cdx_page(got.body.decode("utf-8", "replace"))
+                    yield pa.RecordBatch.from_pydict({"prefix": pa.array([prefix] * len(urls), pa.string()), "url": pa.array(urls, pa.string())})
+                    if key is None:
+                        break
+
+    wanted = prefixes.select("prefix").distinct()
+    return cut(wanted.repartition("prefix").mapInArrow(work, "prefix string, url string"))
+
+
 def cdx_lines(response: Column, limit: int = CDX_PAGE) -> Column:
     """The same as built-in functions: struct of urls and resume_key."""
     lines = F.filter(F.split(response, "\n"), lambda line: F.trim(line) != "")
@@ -240,17 +269,29 @@ def backoff_delays(base_ms: int = 100, retries: int = 3, most_ms: int | None = 5
     return [base_ms**i if most_ms is None else min(base_ms**i, most_ms) for i in range(1, retries + 1)]
 
 
-def with_retries(fetch: Transport, url: str, delays: list[int], retryable=None, sleep=time.sleep) -> Response:
+def wait_asked_ms(response: Response, unit: str = "seconds") -> int:
+    """What a server that answers 429 asks to wait, as ``retry_delay_ms`` reads it; 0 for other answers."""
+    if response.status != 429:
+        return 0
+    asked = next((v.strip() for k, v in response.headers if k.lower() == "retry-after" and isinstance(v, str)), "")
+    return int(asked) * (1000 if unit == "seconds" else 1) if re.fullmatch(r"[0-9]{1,12}", asked) else RETRY_AFTER_MS
+
+
+def with_retries(fetch: Transport, url: str, delays: list[int], retryable=None, sleep=time.sleep, unit: str = "seconds") -> Response:
+    """The first answer that is not to be retried, or the last one. Before the next try, what a 429
+    asks to wait passes first, and then the delay."""
     retryable = retryable or (lambda r: r.status not in (403, 404) and r.status >= 400)
     for delay in [*delays, None]:
+        asked = 0
         try:
             response = fetch(url)
+            asked = wait_asked_ms(response, unit)
             if not retryable(response) or delay is None:
                 return response
         except OSError:
             if delay is None:
                 raise
-        sleep(delay / 1000)
+        sleep((asked + delay) / 1000)
     raise AssertionError
 
 
