@@ -162,5 +162,5 @@ def discovered(lens: Lens, sitemap_urls: DataFrame, feed_urls: DataFrame, index_
 
 
 def write_url_list(found: DataFrame, path: str) -> None:
-    """One file of sorted URLs."""
-    found.select("url").distinct().orderBy("url").coalesce(1).write.mode("overwrite").text(path)
+    """Sorted URLs, one a line, in files that follow each other by name."""
+    found.select("url").distinct().orderBy("url").write.mode("overwrite").text(path)

@@ -82,9 +82,9 @@ def allow_deny(url: Column, allowed: list[str], skipped: list[str]) -> Column:
     return matches_any(url, allowed) & ~matches_any(url, skipped)
 
 
-def seed_rows(urls: DataFrame, url: str = "url") -> DataFrame:
+def seed_rows(urls: DataFrame, url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
     """seed and exact: a URL that ends in ``$`` is a seed itself and is not searched for more."""
-    return urls.select(F.regexp_replace(url, r"\$+$", "").alias("seed"), F.col(url).endswith("$").alias("exact"))
+    return urls.select(*keep, F.regexp_replace(url, r"\$+$", "").alias("seed"), F.col(url).endswith("$").alias("exact"))
 
 
 def thin_prefixes(found: DataFrame, prefixes: DataFrame, least: int = 1, url: str = "url") -> DataFrame:

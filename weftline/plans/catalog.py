@@ -6,13 +6,17 @@ expression derives it in Spark and in SQL.
 
 from __future__ import annotations
 
+import gzip
+import hashlib
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import streaming
+from weftline.functions import html
 from weftline.functions import text as T
 from weftline.functions import urls as U
 from weftline.operators import archive, crawl, dedupe, lens, parse, validate
@@ -128,6 +132,41 @@ def page_hash(spark, sf):
     return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", "content_hash")
 
 
+#: Hashed by the standard library, on the driver.
+_HASHED = ["", "abc", "na\u00efve \u65e5\u672c", " two  blanks ", "x" * 100_000]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{hashlib.blake2s(t.encode()).hexdigest()}')" for i, t in enumerate(_HASHED)) + ", (-1, NULL)) t(n, content_hash)")
+def hash_vectors(spark, sf):
+    rows = prepare(spark).createDataFrame([*enumerate(_HASHED), (-1, None)], "n int, text string")
+    return rows.select("n", T.content_hash("text").alias("content_hash"))
+
+
+@query(f"""
+SELECT page_id, 'keep ' || page_id || ' also' || CASE WHEN page_id % {len(html.SKIPPED_ROLES) + 1} = 0 THEN ' role' ELSE '' END || ' a end' AS content FROM pages
+""")
+def page_skips(spark, sf):
+    """Elements are skipped by tag, by role, and after the mark that ends indexing of their parent."""
+    roles = F.element_at(F.array(*map(F.lit, ["article", *sorted(html.SKIPPED_ROLES)])), (F.col("page_id") % (len(html.SKIPPED_ROLES) + 1) + 1).cast("int"))
+    parts = ["<html><head><title>t</title></head><body><nav>n</nav><p>keep ", F.col("page_id").cast("string"), "</p><p role>also</p><section role='", roles, f"'>role</section><div><b>a</b><!--{html.NO_INDEX}--><i>b</i></div><footer>f</footer><p>end</p>"]
+    rows = table(spark, sf, "pages").select("page_id", F.lit("https://e.com/").alias("url"), F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)).alias("html"))
+    return parse.parse_pages(rows, keep=("page_id",)).select("page_id", "content")
+
+
+@query("SELECT url, 'b' || page_id AS content FROM pages WHERE page_id % 3 = 1")
+def archive_readable_records(spark, sf):
+    """Records without a target, with bodies that are no UTF-8, and damaged ones are left out."""
+    body = F.concat(F.encode(F.concat(F.lit("HTTP/1.1 200 OK\nA: 1\n\nb"), F.col("page_id").cast("string")), "utf-8"), F.when(F.col("page_id") % 3 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit(""))))
+    rows = table(spark, sf, "pages").select(F.when(F.col("page_id") % 6 != 2, F.col("url")).alias("target_uri"), body.alias("body"), (F.col("page_id") % 6 == 5).alias("corrupt"))
+    return warc.to_archive_records(rows).select("url", "content")
+
+
+@query("SELECT lang, sum(strlen(text)) AS before, sum(strlen(regexp_replace(text, '[ ]+', '', 'g'))) AS after, round(100 * (sum(strlen(text)) - sum(strlen(regexp_replace(text, '[ ]+', '', 'g')))) / sum(strlen(text)), 6) AS saved FROM documents GROUP BY 1")
+def archive_compression(spark, sf):
+    sizes = table(spark, sf, "documents").groupBy("lang").agg(F.sum(F.octet_length("text")).alias("before"), F.sum(F.octet_length(F.regexp_replace("text", "[ ]+", ""))).alias("after"))
+    return sizes.withColumn("saved", F.round(T.compression(F.col("before"), F.col("after")), 6))
+
+
 @query(f"SELECT page_id, sha256({CONTENT}) AS sha256 FROM pages")
 def page_sha256(spark, sf):
     return parse.parse_pages(table(spark, sf, "pages"), keep=("page_id",)).select("page_id", F.sha2("content", 256).alias("sha256"))
@@ -222,7 +261,7 @@ def lens_allow_deny(spark, sf):
 @query("SELECT page_id, url AS seed, page_id % 2 = 0 AS exact FROM pages")
 def lens_exact_seed(spark, sf):
     rows = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("$$"))).otherwise(F.col("url")).alias("url"))
-    return rows.select("page_id", F.regexp_replace("url", r"\$+$", "").alias("seed"), F.col("url").endswith("$").alias("exact"))
+    return lens.seed_rows(rows, keep=("page_id",))
 
 
 @query("SELECT page_id, CASE WHEN contains(url, 'utm_source') THEN regexp_replace(url, '\\?[^#]*', '') ELSE url END AS url FROM pages")
@@ -319,13 +358,46 @@ def robots_sitemaps(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(web.robots_sitemaps(body)).alias("sitemap"))
 
 
-@query("SELECT page_id // 10 AS page, url, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) = count(*) OVER (PARTITION BY page_id // 10) AS is_key FROM pages QUALIFY count(*) OVER (PARTITION BY page_id // 10) = 10")
+@query("SELECT page_id // 10 AS page, url, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) = 10 AS is_key FROM pages")
 def cdx_pages(spark, sf):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: s.url), "\n\n")
-    pages = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("page")).agg(lines.alias("response"), F.count("*").alias("n")).filter("n = 10")
+    pages = table(spark, sf, "pages").groupBy(F.floor(F.col("page_id") / 10).alias("page")).agg(lines.alias("response"))
     rows = pages.select("page", web.cdx_lines(F.col("response"), 9).alias("c"))
     urls = rows.select("page", F.explode("c.urls").alias("url"), F.lit(False).alias("is_key"))
-    return urls.unionByName(rows.select("page", F.col("c.resume_key").alias("url"), F.lit(True).alias("is_key")))
+    return urls.unionByName(rows.filter("c.resume_key is not null").select("page", F.col("c.resume_key").alias("url"), F.lit(True).alias("is_key")))
+
+
+@query("SELECT page_id, url, 's' || (2 * page_id + 1) || ',s' || (2 * page_id + 2) || ',s' || page_id AS nested FROM pages WHERE page_id % 4 <> 3")
+def sitemap_payloads(spark, sf):
+    """Sitemaps as they come: packed, plain, with byte order marks; a damaged one gives nothing."""
+
+    @F.pandas_udf("binary")
+    def packed(n: pd.Series, text: pd.Series) -> pd.Series:
+        makers = (lambda t: gzip.compress(t.encode()), lambda t: t.encode(), lambda t: f"\ufeff{t}".encode(), lambda t: b"\x1f\x8b damaged")
+        return pd.Series([makers[i % 4](t) for i, t in zip(n, text, strict=True)], dtype=object)
+
+    named = F.concat("sitemap", F.when(F.col("page_id") % 4 % 3 == 0, ".xml.gz").otherwise(".xml"))
+    rows = sitemaps(spark, sf).select("page_id", web.payload_text(named, packed("page_id", "text")).alias("text"))
+    found = rows.select("page_id", web.sitemap_links("text").alias("l")).filter(F.size("l.urls") > 0)
+    return found.select("page_id", F.col("l.urls")[0].alias("url"), F.array_join("l.sitemaps", ",").alias("nested"))
+
+
+@query("""
+SELECT 'h' || page_id || '.x' AS domain, 'http://h' || page_id || '.x/' AS origin,
+  CASE page_id % 3 WHEN 0 THEN 'http://maps.x/' || page_id WHEN 1 THEN 'http://h' || page_id || '.x/sitemap.xml' ELSE '' END AS sitemaps,
+  CASE WHEN page_id % 2 = 0 THEN 'Atom http://h' || page_id || '.x/feed' ELSE '' END AS feeds
+FROM pages
+""")
+def site_infos(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", F.concat(F.lit("h"), F.col("page_id").cast("string"), F.lit(".x")).alias("domain"))
+    at = F.concat(F.lit("http://"), "domain", F.lit("/"))
+    feed = F.concat(F.lit("<link rel=alternate type='application/atom+xml' title=t href='"), at, F.lit("feed'>"))
+    robots = pages.filter("page_id % 3 = 0").select(F.concat(at, F.lit("robots.txt")).alias("url"), F.lit(200).alias("status"), F.concat(F.lit("Sitemap: http://maps.x/"), F.col("page_id").cast("string")).alias("text"))
+    probes = pages.select(F.concat(at, F.lit("sitemap.xml")).alias("url"), F.when(F.col("page_id") % 3 == 2, 404).otherwise(200).alias("status"), F.lit("<urlset/>").alias("text"))
+    fronts = pages.select(at.alias("url"), F.lit(200).alias("status"), F.when(F.col("page_id") % 2 == 0, feed).otherwise("<p>front").alias("text"))
+    info = web.site_info(pages.select("domain"), robots.unionByName(probes).unionByName(fronts))
+    shown = F.array_join(F.transform("feeds", lambda f: F.concat_ws(" ", f.feed_type, f.url)), ",")
+    return info.select("domain", "origin", F.array_join("sitemaps", ",").alias("sitemaps"), shown.alias("feeds"))
 
 
 @query(f"""
@@ -349,6 +421,16 @@ def crawl_antijoin(spark, sf):
     return crawl.still_to_fetch(pages, pages.filter("page_id % 4 = 0"))
 
 
+@query("SELECT 'https://e.com/' || (page_id % 40) AS url, arg_max(page_id % 6, page_id) AS status, max(page_id) AS fetched_at FROM pages GROUP BY 1")
+def crawl_cache_upsert(spark, sf):
+    """Two runs that append to a cache; the last row of a URL counts."""
+    path = folder(spark)
+    rows = table(spark, sf, "pages").select(F.concat(F.lit("https://e.com/"), (F.col("page_id") % 40).cast("string")).alias("url"), (F.col("page_id") % 6).alias("status"), F.col("page_id").alias("at"))
+    for part in ("at % 3 = 0", "at % 3 <> 0"):
+        crawl.cache_rows(rows.filter(part)).withColumn("fetched_at", F.col("at")).drop("at").write.mode("append").parquet(path)
+    return crawl.cached(spark.read.parquet(path)).select("url", "status", "fetched_at")
+
+
 @query(f"SELECT host, second, count(*) AS urls FROM (SELECT {HOST} AS host, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) // 2 AS second FROM pages) GROUP BY 1, 2")
 def rate_limit_schedule(spark, sf):
     planned = crawl.schedule(table(spark, sf, "pages"))
