@@ -109,17 +109,31 @@ def fold(rows):
 
 
 @pytest.mark.parametrize("span", [5, 30, 1000])
-def test_dual_dedupe(spark, span):
+def test_dual_dedupe(spark, span, monkeypatch):
     rng = random.Random(span)
     rows = [(i, f"u{rng.randrange(span)}", rng.choice([None, f"u{rng.randrange(span)}", f"c{rng.randrange(span)}"])) for i in range(120)]
     df = spark.createDataFrame(rows, "seq long, url string, canonical_norm string")
     got = sorted((r.seq, r.archived, r.parsed) for r in dedupe.dual_dedupe(df).collect())
     assert got == fold(rows)
+    for least in (0.0, 2.0):  # rounds alone, and chains followed in order from the second round on
+        monkeypatch.setattr(dedupe, "LEAST_SETTLED", least)
+        assert sorted((r.seq, r.archived, r.parsed) for r in dedupe.dual_dedupe(df).collect()) == fold(rows)
     own = [(i, f"u{i % 7}", f"u{i % 7}" if i % 2 else None) for i in range(40)]
     got = sorted((r.seq, r.archived, r.parsed) for r in dedupe.dual_dedupe(spark.createDataFrame(own, "seq long, url string, canonical_norm string")).collect())
     assert got == fold(own)
 
 
+def test_dual_dedupe_of_a_whole_site(spark):
+    """One canonical URL for most rows, a long chain, and URLs that are missing."""
+    rng = random.Random(1)
+    rows = [(i, f"p{rng.randrange(4000)}", "home") for i in range(5000)] + [(5000 + i, f"c{i}", f"c{i + 1}") for i in range(60)] + [(6000 + i, "home", rng.choice(["home", "x", None])) for i in range(5)] + [(7000, None, "p1"), (7001, "p1", "q")]
+    rng.shuffle(rows)
+    rows = [(n, u, c) for n, (_, u, c) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "seq long, url string, canonical_norm string")
+    assert sorted((r.seq, r.archived, r.parsed) for r in dedupe.dual_dedupe(df).collect()) == fold(rows)
+    assert dedupe.dual_dedupe(df.limit(0)).collect() == []
+
+
 def test_cdx(spark, tmp_path):
     (tmp_path / "http%3A%2F%2Fa.b%2F.0").write_text("u1\nu2\n\nkey\n")
     (tmp_path / "http%3A%2F%2Fa.b%2F.1").write_text("u3\n")
