@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 again as the next stage's docs. All but the last return the columns of ``documents``.
 
 Edge cases are those of the operators; in short: null texts count as empty, rows with a null id go
-through every stage (they are never linked to others), repeated rows are copies and one stays, an
-empty table gives no rows, and further columns are carried along up to the last stage.
+through every stage (they are never linked to others), repeated rows are copies and one stays, rows
+with one id and different texts are documents of their own, texts of any length count whole, an empty
+table gives no rows, and further columns are carried along up to the last stage.
 """
 
 from __future__ import annotations
@@ -35,9 +36,16 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    gone = jaccard.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each component of near copies. Where ids repeat, each row is
+    a document, and of rows with the smallest id one stays."""
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        gone = jaccard.jaccard_components(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # docs is a written table, so its rows have the same numbers whenever they are read
+    number = F.struct("doc_id", F.monotonically_increasing_id().alias("row"))
+    rows = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), number))
+    gone = jaccard.jaccard_components(rows, key="__row").filter("__row <> component_id").select("__row")
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,11 +76,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; tables between them lie in the shared folder."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    result = STAGES[-1][1](spark, docs, sf_dir)
-    # packing has cut its result off, so the tables between are no longer needed
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return result
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        return STAGES[-1][1](spark, docs, sf_dir)
+    finally:
+        # packing has cut its result off, so the tables between are no longer needed
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
