@@ -242,6 +242,10 @@ def test_commands(spark, tmp_path, capsys):
     assert sorted(r.url for r in session.cache().filter("error_kind is null").collect()) == few
     assert sorted(r.content for r in parsed.read_parsed(spark, files.parsed).collect()) == [f"page {i}" for i in range(4)]
     assert "true" in run("validate", transport=transport({}))
+    assert cli.archive_path(session.storage) == files.warc == cli.archive_path(files.warc)
+    before = parsed.read_parsed(spark, files.parsed).count()
+    cli.main(["preprocess", session.storage], spark=spark, root=root)
+    assert parsed.read_parsed(spark, files.parsed).count() == before
     cli.upload(spark, files.parsed, f"{root}/bucket/parsed.gz")
     assert parsed.read_parsed(spark, f"{root}/bucket/parsed.gz").count() == 4
     cli.clean(root)
@@ -289,6 +293,8 @@ def test_session(spark, tmp_path):
     }
     session = cli.Session(spark, lens.Lens("t", domains=["a.b"]), str(tmp_path), transport(pages))
     info = session.sites(["a.b", "none.x"]).orderBy("domain").collect()
+    again = cli.Session(spark, session.lens, str(tmp_path), transport({}))  # asks nothing that is known, found or not
+    assert again.sites(["none.x", "a.b"]).orderBy("domain").collect() == info
     assert info[0].sitemaps == ["http://a.b/map.xml.gz"] and info[0].feeds[0].feed_type == "Rss" and info[1].sitemaps == []
     queue = spark.createDataFrame([("http://a.b/",), ("http://gone.x/",)], "url string")
     got = {r.url: r for r in crawl.fetch_all(queue, transport(pages), as_of="2024-01-01", sleep=lambda s: None).collect()}

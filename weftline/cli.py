@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftline.functions import html
 from weftline.functions.urls import whatwg_url
 from weftline.operators import archive, crawl, lens, parse, validate
-from weftline.session import builder, prepare
+from weftline.session import builder, cut, prepare
 from weftline.sources import parsed, warc, web
 
 
@@ -84,10 +84,15 @@ class Session:
         return got.select(F.col("requested").alias(name), "status", web.payload_text(packed, "body").alias("text"))
 
     def sites(self, domains: list[str]) -> DataFrame:
-        rows = self.spark.createDataFrame([(d,) for d in domains], "domain string")
-        origins = rows.select(F.when(F.col("domain").startswith("http"), F.regexp_extract("domain", "^https?://[^/?#]+", 0)).otherwise(F.concat(F.lit("http://"), "domain")).alias("o"))
+        """Site infos of domains. What was found, or not found, for a domain is kept until ``clean``, so no
+        site is asked twice."""
+        rows = self.spark.createDataFrame([(d,) for d in domains], "domain string").distinct()
+        path = f"{self.spool}-sites"
+        new = rows.join(self.spark.read.parquet(path), "domain", "left_anti") if os.path.exists(path) else rows
+        origins = new.select(F.when(F.col("domain").startswith("http"), F.regexp_extract("domain", "^https?://[^/?#]+", 0)).otherwise(F.concat(F.lit("http://"), "domain")).alias("o"))
         wanted = origins.select(F.explode(F.array(F.concat("o", F.lit("/")), F.concat("o", F.lit("/robots.txt")), F.concat("o", F.lit("/sitemap.xml")))).alias("url")).distinct()
-        return web.site_info(rows, self._fetched(wanted, "url"))
+        cut(web.site_info(new, self._fetched(wanted, "url"))).write.mode("append").parquet(path)
+        return self.spark.read.parquet(path).join(rows, "domain", "left_semi")
 
     def find_urls(self) -> DataFrame:
         info = self.sites([*self.lens.domains, *self.lens.prefixes()]).cache()
@@ -124,7 +129,7 @@ class Session:
         if not os.path.exists(self.url_list()):
             raise FileNotFoundError(f"{self.url_list()} is missing: run check-urls or crawl first")
         urls = self.spark.read.text(self.url_list()).select(F.col("value").alias("url"))
-        return validate.report(urls, warc.to_archive_records(warc.read_warc(self.spark, f"{self.storage}/archive.warc")))
+        return validate.report(urls, warc.to_archive_records(warc.read_warc(self.spark, archive_path(self.storage))))
 
 
 def crawl_folder(spark: SparkSession, base_url: str, output: str, path: str) -> archive.ArchiveFiles:
@@ -140,6 +145,14 @@ def crawl_folder(spark: SparkSession, base_url: str, output: str, path: str) ->
     return files
 
 
+def archive_path(path: str) -> str:
+    """The archive in a folder, unless the path names one already."""
+    names = ("archive.warc.gz", "archive.warc")
+    if os.path.basename(path.rstrip("/")) in names:
+        return path
+    return next((found for n in names if os.path.exists(found := os.path.join(path, n))), path)
+
+
 def upload(spark: SparkSession, source: str, target: str) -> None:
     """Copy a file or folder to any store that Hadoop knows, such as an object store."""
     fs = spark._jvm.org.apache.hadoop.fs
@@ -172,7 +185,8 @@ def main(argv: list[str] | None = None, *, spark: SparkSession | None = None, ro
         return
     spark = spark or builder().getOrCreate()
     if given.command == "preprocess":
-        parsed.write_parsed(archive.preprocess(spark, given.warc), os.path.join(os.path.dirname(given.warc) or ".", "parsed.gz"))
+        path = archive_path(given.warc)
+        parsed.write_parsed(archive.preprocess(spark, path), os.path.join(os.path.dirname(path.rstrip("/")) or ".", "parsed.gz"))
     elif given.command == "crawl-folder":
         print(crawl_folder(spark, given.base_url, given.output, given.folder))
     elif given.command == "check-domain":
@@ -209,7 +223,7 @@ def register_sql(spark: SparkSession, views: dict[str, DataFrame] | None = None)
         frame.createOrReplaceTempView(name)
 
 
-__all__ = ["Session", "clean", "crawl_folder", "fetch", "main", "parse", "register_sql", "upload"]
+__all__ = ["Session", "archive_path", "clean", "crawl_folder", "fetch", "main", "parse", "register_sql", "upload"]
 
 if __name__ == "__main__":
     main()

@@ -358,6 +358,13 @@ def robots_sitemaps(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.explode(web.robots_sitemaps(body)).alias("sitemap"))
 
 
+@query("SELECT page_id, 'disallow /x' || page_id || ',allow /y' AS rules FROM pages")
+def robots_rules(spark, sf):
+    body = F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-Agent: *\r\nDisallow: /x"), F.col("page_id").cast("string"), F.lit(" # no\nallow:/y\nCrawl-delay: 2\n"))
+    rules = F.transform(web.robots_rules(body), lambda r: F.concat_ws(" ", r["rule"], r["path"]))
+    return table(spark, sf, "pages").select("page_id", F.array_join(rules, ",").alias("rules"))
+
+
 @query("SELECT page_id // 10 AS page, url, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) = 10 AS is_key FROM pages")
 def cdx_pages(spark, sf):
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "url"))), lambda s: s.url), "\n\n")
