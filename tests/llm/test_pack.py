@@ -42,9 +42,45 @@ def test_best_fit():
         assert len(bins) == len(free)
 
 
-@pytest.mark.parametrize("task_items", [50_000, 7])
-def test_packing(spark, task_items, monkeypatch):
+def test_plan_by_size():
+    rng = random.Random(8)
+    for _ in range(60):
+        sizes = [rng.choice([3, 7, 11, *range(1, 51)]) for _ in range(rng.randint(0, 400))]
+        counts = {n: sizes.count(n) for n in set(sizes)}
+        bins = defaultdict(list)
+        for size, rank, ranks, first, each, base in pack.plan_by_size(counts, 50):
+            for k in range(ranks):
+                bins[first + k // each].append((base + size * (k % each), size, rank + k))
+        assert sorted((size, rank) for b in bins.values() for _, size, rank in b) == sorted((n, r) for n, c in counts.items() for r in range(c))
+        for spans in bins.values():
+            spans.sort()
+            assert spans[0][0] == 0 and all(a + n == b for (a, n, _), (b, _, _) in zip(spans, spans[1:]))
+            assert spans[-1][0] + spans[-1][1] <= 50
+        assert len(bins) == len(pack.best_fit(sizes, 50))
+
+
+@pytest.mark.parametrize(("task_items", "gain"), [(60, 0.02), (60, 1.0)])
+def test_packing_of_many_tasks_is_near_the_least(spark, task_items, gain, monkeypatch):
+    monkeypatch.setattr(pack, "TASK_ITEMS", task_items)
+    monkeypatch.setattr(pack, "LEAST_GAIN", gain)
+    rng = random.Random(7)
+    rows = [(i, "word " * int(rng.paretovariate(1.1) * 12)) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = pack.best_fit_pack(docs, PATH, capacity=1024).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(pieces(rows, 1024))
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spans in bins.values():
+        spans.sort()
+        assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and sum(spans[-1]) <= 1024
+    assert len(bins) <= 1.02 * -(-sum(r.length for r in got) // 1024) + 1
+
+
+@pytest.mark.parametrize(("task_items", "gain"), [(50_000, 0.02), (7, 0.02), (7, 1.0)])
+def test_packing(spark, task_items, gain, monkeypatch):
     monkeypatch.setattr(pack, "TASK_ITEMS", task_items)
+    monkeypatch.setattr(pack, "LEAST_GAIN", gain)
     rng = random.Random(3)
     rows = [(i, " ".join(["word"] * rng.randint(0, 40))) for i in range(120)] + [(500, None), (501, ""), (None, "two words"), (502, "long " * 300), (3, "again"), (3, "again")]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, members string").repartition(5)

@@ -6,20 +6,26 @@ fewer, larger tasks pack them best-fit again, until one task has packed what is
 holds more than ``TASK_ITEMS`` items, and each round's bins are cut off in the shared folder before
 the next round reads them, so a lost executor never changes a packing that others have seen.
 
+Where a round of several tasks merges little, its tasks' bins are too alike to wait for one task: the
+last round then packs all that are left at once by their number of each length. Bins of one length
+are interchangeable, so best fit over these at most ``capacity`` numbers says which bins, by their rank
+among those of their length, go where; the bins themselves stay distributed.
+
 Edge cases: a null text counts as empty, and an empty document is its end id alone; only documents
-longer than a sequence are cut; equal lengths are taken by document order; repeated rows are packed as
-often as they occur; an empty table gives no rows; other columns are never read.
+longer than a sequence are cut; equal lengths are taken by document order; texts of any length are packed whole;
+repeated rows are packed as often as they occur; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe
@@ -29,7 +35,7 @@ from weftline.session import cut, prepare
 TASK_ITEMS = 50_000
 #: Free places up to which a bin is done.
 SLACK = 4
-#: Rounds end when they merge less than this share of the bins.
+#: Share of the bins that a round of several tasks merges, below which the next round is the last.
 LEAST_GAIN = 0.02
 
 MEMBER = "struct<doc_id: {kind}, piece: int, start: bigint, length: bigint, ids_crc32: bigint, offset: bigint>"
@@ -160,21 +166,79 @@ def next_round(bins: DataFrame, number: int, tasks: int, capacity: int, last: bo
     return bins.repartition(tasks, "sequence_id").mapInArrow(work, bins.schema)
 
 
+def plan_by_size(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit of ``counts[size]`` items of each size, longest first, as runs (size, first rank, ranks,
+    first bin, items a bin, offset): the items of a size with these ranks go to bins one after the other."""
+    runs, bins = [], 0
+    open_at: dict[int, list[tuple[int, int]]] = {}  # free places: first bin and number of such bins
+    rooms: list[int] = []  # sorted
+
+    def free(room: int, first: int, number: int) -> None:
+        if room and number:
+            if room not in open_at:
+                bisect.insort(rooms, room)
+            open_at.setdefault(room, []).append((first, number))
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            at = bisect.bisect_left(rooms, size)
+            if at < len(rooms):
+                room = rooms[at]
+                first, number = open_at[room].pop()
+                if not open_at[room]:
+                    del open_at[room], rooms[at]
+            else:
+                room, first, number = capacity, bins, -(-left // (capacity // size))
+                bins += number
+            each = room // size
+            used = min(number, left // each)
+            runs.append((size, rank, used * each, first, each, capacity - room))
+            rank, left = rank + used * each, left - used * each
+            free(room - each * size, first, used)
+            if used < number and left:  # the last bin that takes some takes fewer
+                runs.append((size, rank, left, first + used, left, capacity - room))
+                free(room - left * size, first + used, 1)
+                used, left = used + 1, 0
+            free(room if room < capacity else 0, first + used, number - used)
+    return [r for r in runs if r[2]]
+
+
+def last_round(rest: DataFrame, number: int, count: int, capacity: int) -> DataFrame:
+    """All underfull bins packed as items by their number of each length."""
+    spark = rest.sparkSession
+    counts = {r["fill"]: r["count"] for r in rest.groupBy("fill").count().collect()}  # at most ``capacity`` rows
+    runs = spark.createDataFrame(plan_by_size(counts, capacity), "fill long, first_rank long, ranks long, first_bin long, each long, base long")
+    # ranks among bins of one length: within a salt, after the bins of the salts before it
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("sequence_id"), F.lit(max(1, count // TASK_ITEMS))))
+    within = F.row_number().over(Window.partitionBy("fill", "salt").orderBy("sequence_id"))
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("fill").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    salts = salted.groupBy("fill", "salt").count().select("fill", "salt", before.alias("before"))
+    ranked = salted.withColumn("within", within).join(salts, ["fill", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
+    placed = ranked.join(F.broadcast(runs), "fill").filter("rank >= first_rank and rank < first_rank + ranks")
+    placed = placed.withColumn("turn", F.expr("rank - first_rank")).withColumn("shift", F.expr("base + fill * pmod(turn, each)"))
+    fields = [f for f in rest.schema["members"].dataType.elementType.names if f != "offset"]
+    moved = F.expr("transform(members, m -> struct(" + ", ".join(f"m.{f}" for f in fields) + ", m.offset + shift AS offset))")
+    return placed.select(F.expr(f"{number << 56}L + first_bin + turn div each").alias("sequence_id"), moved.alias("members"))
+
+
 def best_fit_pack(docs: DataFrame, path: str, *, capacity: int = 4096, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a piece: the key, piece, start, length, ids_crc32, sequence_id and offset."""
     bins = cut(first_round(docs, path, capacity, end_id, text, key))
-    finished = bins.filter("done")
+    finished = bins.filter("done").select("sequence_id", "members")
     rest = bins.filter("not done")
-    number, count = 0, rest.count()
+    number, count, gained = 0, rest.count(), True
     while count > 1:
         number += 1
         tasks = math.ceil(count / TASK_ITEMS)
+        if tasks > 1 and not gained:
+            finished, count = finished.unionByName(cut(last_round(rest, number, count, capacity))), 0
+            break
         bins = cut(next_round(rest, number, tasks, capacity, last=tasks == 1))
-        finished = finished.unionByName(bins.filter("done"))
+        finished = finished.unionByName(bins.filter("done").select("sequence_id", "members"))
         rest = bins.filter("not done")
         before, count = count, rest.count()
-        if count > (1 - LEAST_GAIN) * before:  # what is left does not fit together
-            break
+        gained = count <= (1 - LEAST_GAIN) * before
     if count:
-        finished = finished.unionByName(rest)
+        finished = finished.unionByName(rest.select("sequence_id", "members"))
     return finished.select("sequence_id", F.inline("members")).select(F.col("doc_id").alias(key), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
