@@ -4,8 +4,9 @@ Documents are aggregated by encoded length (map-side first, so a length that a t
 share is no hot key), and sums over the histogram answer every question about a context limit. With T
 tokens in all there are at most sqrt(2 T) distinct lengths, which one task can order at any size.
 
-Edge cases: null and empty texts have length 0; repeated rows count as often as they occur; an empty
-table gives an empty histogram, no quantiles and zero totals; other columns are never read.
+Edge cases: null and empty texts have length 0; texts of any length are encoded whole; repeated rows
+count as often as they occur; an empty table gives an empty histogram, no quantiles and zero totals;
+other columns are never read.
 """
 
 from __future__ import annotations

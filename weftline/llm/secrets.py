@@ -139,7 +139,9 @@ def postings(docs: DataFrame, grams: list[str], blocks: int, *, text: str, key:
     """The inverted index: block, gram (its number) and the posting list of document keys."""
     rows = docs.select(_pattern_key(key, text).alias("posting"), F.lower(F.col(text)).alias("low"))
     held = F.array_compact(F.array(*(F.when(F.contains(F.col("low"), F.lit(g)), F.lit(i)) for i, g in enumerate(grams))))
-    found = rows.select("posting", F.pmod(F.col("posting"), F.lit(blocks)).alias("block"), held.alias("grams"))
+    # rows that are alike in key and text have one posting, so they are joined map-side first
+    found = rows.select("posting", held.alias("grams")).filter(F.size("grams") > 0).groupBy("posting").agg(F.first("grams").alias("grams"))
+    found = found.withColumn("block", F.pmod(F.col("posting"), F.lit(blocks)))
     return found.select("posting", "block", F.explode("grams").alias("gram")).repartition("block").groupBy("block", "gram").agg(F.collect_set("posting").alias("postings"))
 
 
