@@ -6,13 +6,14 @@ words that repeat are told from others. FTRL keeps a learning rate for each coor
 leaves few weights, which are sorted by hash and broadcast: scoring looks the hashes of a text up in
 them and sums, a sparse dot product.
 
-Learning takes at most ``sample`` labelled rows (those with the smallest hash of their id, so the choice
-does not depend on partitions) and never rows held out. It runs in one task; the weights alone reach
-the driver. Scoring reads all rows in place, without a shuffle.
+Learning takes at most ``sample`` different labelled rows with at most ``letters`` letters together
+(those with the smallest hash of their id, so the choice does not depend on partitions; whole texts,
+and the first one whatever its length) and never rows held out. It runs in one task, whose memory the
+two bounds bound; the weights alone reach the driver. Scoring reads all rows in place, without a shuffle.
 
 Edge cases: null and empty texts get the score of the bias alone; null ids are held out; rows without a
 label or with a null label teach nothing; where no row can be learnt from, all scores are 0.5; repeated
-rows get the same score; an empty table gives no rows; texts, lang, source and ids are never features.
+rows get the same score and teach once; texts of any length are scored whole; an empty table gives no rows; texts, lang, source and ids are never features.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.session import prepare
+from weftline.session import cut, prepare
 
 TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
+#: Rows and letters that are learnt from at most.
+SAMPLE, LETTERS = 8000, 26_000_000
 #: Token hashes that a worker keeps.
 CACHE = 400_000
 AGAIN = np.uint64(0x5851F42D4C957F2D)
@@ -111,8 +114,12 @@ class Ftrl:
         """rows: distinct hashes and values of each text. Returns sorted hashes and their weights."""
         if not rows:
             return np.zeros(0, np.uint64), np.zeros(0)
-        every, counts = np.unique(np.concatenate([k for k, _ in rows]), return_counts=True)
-        every = np.append(every[(counts >= self.least_docs) & (every != BIAS)], BIAS)
+        every = np.concatenate([k for k, _ in rows])
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        often = np.diff(np.append(first, len(every))) >= self.least_docs
+        every = every[first[often]]
+        every = np.append(every[every != BIAS], BIAS)
         every.sort()
         bias = int(np.searchsorted(every, BIAS))
         z, n = np.zeros(len(every)), np.zeros(len(every))
@@ -122,7 +129,7 @@ class Ftrl:
         for keys, values in rows:
             at = np.minimum(np.searchsorted(every, keys), len(every) - 1)
             ok = every[at] == keys
-            data.append((np.append(at[ok], bias), np.append(values[ok], 1.0)))
+            data.append((np.append(at[ok], bias).astype(np.int32), np.append(values[ok], 1.0).astype(np.float32)))
         order = np.random.default_rng(11)
         for _ in range(self.epochs):
             for i in order.permutation(len(data)):
@@ -168,13 +175,19 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, ftrl: Ftrl, *, sample: int = 8000, text: str = "text", key: str = "doc_id") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, ftrl: Ftrl, *, sample: int = SAMPLE, letters: int = LETTERS, text: str = "text", key: str = "doc_id") -> Model:
     """Learn ``label`` from rows that are not held out."""
     prepare(docs.sparkSession)
     taught = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(key)).groupBy(key).agg(F.max(label).cast("int").alias("label"))
-    # at most ``sample`` rows of two numbers
-    chosen = taught.orderBy(F.xxhash64(key), key).limit(sample)
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(F.xxhash64(key, text).alias("turn"), "label", text)
+    some = taught.orderBy(F.xxhash64(key), key).limit(sample)
+    turn = F.xxhash64(key, text).alias("turn")
+    known = docs.select(key, text).join(F.broadcast(some), key).select(key, "label", turn, F.coalesce(F.length(text), F.lit(0)).cast("long").alias("size")).distinct()
+    # at most ``sample`` rows of four numbers
+    order = (F.xxhash64(key), F.col("turn"))
+    before = F.sum("size").over(Window.orderBy(*order)) - F.col("size")
+    chosen = cut(known.orderBy(*order).limit(sample).withColumn("before", before).filter((F.col("before") + F.col("size") <= letters) | (F.col("before") == 0)).select(key, "label", "turn"))
+    found = docs.select(key, text, turn).join(F.broadcast(chosen), [key, "turn"])
+    rows = found.groupBy("turn", "label").agg(F.min(text).alias(text))
 
     def extract(batches):
         for batch in batches:
@@ -189,9 +202,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, features: Features, ftrl
             )
 
     def learn(batches):
-        found = sorted(((t, y, k, v) for b in batches for t, y, k, v in zip(*(c.to_pylist() for c in b.columns), strict=True)))
-        data = [(np.frombuffer(k, dtype=np.uint64), np.frombuffer(v, dtype="<f4").astype(float)) for _, _, k, v in found]
-        keys, weights = ftrl.fit(data, [y for _, y, _, _ in found])
+        turns, taught, data = [], [], []
+        for batch in batches:
+            turns += batch.column(0).to_pylist()
+            taught += batch.column(1).to_pylist()
+            data += [(np.frombuffer(k, dtype=np.uint64), np.frombuffer(v, dtype="<f4")) for k, v in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        order = sorted(range(len(turns)), key=lambda i: (turns[i], taught[i]))
+        keys, weights = ftrl.fit([data[i] for i in order], [taught[i] for i in order])
         yield pa.RecordBatch.from_pydict({"keys": pa.array([keys.tobytes()], pa.binary()), "weights": pa.array([weights.tobytes()], pa.binary())})
 
     features_of = rows.mapInArrow(extract, "turn long, label int, keys binary, amounts binary")
@@ -237,9 +254,9 @@ TOXIC = (Features(grams=(1, 2), skips=(2, 3), stems=(4, 5), presence=True), Ftrl
 QUALITY = (Features(grams=(1, 2, 3), lower=False), Ftrl(alpha=1.0, l1=0.3, l2=0.1))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = 0.5) -> DataFrame:
     return score(docs, fit(docs, labels, "toxic", *TOXIC, sample=sample), threshold)
 
 
-def quality(docs: DataFrame, labels: DataFrame, *, sample: int = 8000, threshold: float = 0.3) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, threshold: float = 0.3) -> DataFrame:
     return score(docs, fit(docs, labels, "quality", *QUALITY, sample=sample), threshold)
