@@ -10,8 +10,9 @@ It is computed in blocks of columns, and only as far as size-derived bounds ask
    matrix are kept. They are dealt by shingle to blocks. The column of a very frequent shingle is cut
    into parts that a hub ties together, so no column grows without bound.
 3. Within a block, entries of a shingle give a list of sets. First, each set is paired with one centre,
-   the smallest name of its lists, and the pairs that share most are compared exactly. What links
-   forms trees: a group of near copies is joined with as many comparisons as it has texts.
+   the smallest name of its lists, and of these pairs the one that shares most is compared exactly,
+   if it shares enough to link. What links forms trees: a group of near copies is joined with as many
+   comparisons as it has texts.
 4. Sets that lists of more than ``LIST`` sets hold together form families. All other candidates share
    short lists only: their pairs of different trees are counted, at most ``LIST / 2`` an entry. Counts
    are complete for such pairs, and a pair of which less is shared than ``ceil(4 (a + b) / 9)`` minus
@@ -40,7 +41,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -550,16 +551,23 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     limit = LIST
     made = cut(entries(docs.filter(F.col(key).isNotNull()), levels, blocks, text).groupBy("block").applyInArrow(lambda t: lists_and_centres(t, limit), PAIRS))
 
-    node = classes.select("short", "id")
+    node = classes.select("short", "id", "n")
+
+    def least_shared(a: str, b: str) -> Column:
+        """Kept entries that two sets of these sizes must share to link: all but what may lie behind them."""
+        return F.expr(f"ceil({PERCENT} * ({a} + {b}) / {100 + PERCENT}) - greatest(ceil({PERCENT} * {a} / 100), ceil({PERCENT} * {b} / 100)) + 1")
+
     centres = made.filter("list is null and weight > 0").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
     best = Window.partitionBy("b").orderBy(F.desc("weight"), "a")
-    stars = centres.withColumn("turn", F.row_number().over(best)).filter("turn = 1").select("a", "b")
+    stars = centres.withColumn("turn", F.row_number().over(best)).filter("turn = 1").select("a", "b", "weight")
 
     def named(pairs: DataFrame) -> DataFrame:
-        a, b = (node.select(F.col("short").alias(x), F.col("id").alias(f"id_{x}")) for x in "ab")
-        return pairs.join(b, "b").join(a, "a").select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).filter("a <> b")
+        a, b = (node.select(F.col("short").alias(x), F.col("id").alias(f"id_{x}"), F.col("n").alias(f"size_{x}")) for x in "ab")
+        return pairs.join(b, "b").join(a, "a").filter("id_a <> id_b").drop("a", "b").withColumnsRenamed({"id_a": "a", "id_b": "b"})
 
-    links = verified(docs, named(stars), text, key)
+    # a centre that shares too little is not compared here; if a link is there, the next steps find it
+    near = named(stars).filter(F.col("weight") >= least_shared("size_a", "size_b"))
+    links = verified(docs, near.select("a", "b"), text, key)
     repeated = cut(slim.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
     unique = repeated.isEmpty()
     if unique:
@@ -587,9 +595,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     placed = placed.withColumn("deal", F.pmod("list", F.lit(4 * blocks)))
     crossing = placed.groupBy("deal").applyInArrow(across_trees, "a long, b long, n_a long, n_b long, weight long")
     counted = crossing.groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
-    need = F.expr(f"ceil({PERCENT} * (n_a + n_b) / {100 + PERCENT})")
-    behind = F.expr(f"greatest(ceil({PERCENT} * n_a / 100), ceil({PERCENT} * n_b / 100)) - 1")
-    more = verified(docs, named(counted.filter(F.col("common") >= need - behind).select("a", "b")), text, key)
+    more = verified(docs, named(counted.filter(F.col("common") >= least_shared("n_a", "n_b")).select("a", "b")).select("a", "b"), text, key)
     if in_families:
         of_family = place.filter("family <> 0").join(classes.select("short", "id", "n"), "short").select("id", "n", "tree", "family")
         more = more.unionByName(family_links(docs, of_family, text, key, unique))
