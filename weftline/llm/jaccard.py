@@ -59,6 +59,8 @@ COLUMN = 2048
 LIST = 64
 #: Sets and shingles in a part of a family, about.
 PART_SETS, PART_SHINGLES = 1024, 1 << 20
+#: Parts that the sums of a family are dealt to.
+SALTS = 64
 #: Pairs in a column of a product from which it is multiplied densely, and columns at a time.
 DENSE, COLUMNS = 10_000, 2048
 #: Entries of a block of columns, about.
@@ -509,6 +511,12 @@ def block_links(group: pa.Table) -> pa.Table:
         i, j = np.delete(i, wrong), np.delete(j, wrong)
 
 
+def _salted(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of many rows a key, which are split by their tree, with one row a key, which is copied."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>"))
+    return left.withColumn("salt", F.pmod(F.xxhash64("tree"), F.lit(SALTS))).join(right.withColumn("salt", salts), [*keys, "salt"], how).drop("salt")
+
+
 def family_links(docs: DataFrame, members: DataFrame, text: str, key: str, unique: bool) -> DataFrame:
     """Links between trees of each family, from members (id, n, tree, family). A document's text travels to
     each block that its part is in; parts of one tree never meet."""
@@ -517,10 +525,10 @@ def family_links(docs: DataFrame, members: DataFrame, text: str, key: str, uniqu
     shares = cut(members.groupBy("family", "tree", "own_band").agg(F.sum("share").alias("share")))
     whole = shares.groupBy("family", "tree").agg(F.sum("share").alias("share")).groupBy("family").agg(F.sum("share").alias("all_share"), F.count("*").alias("trees")).filter("trees > 1")
     # a family of one part has one band
-    banded = shares.join(whole.select("family", (F.col("all_share") <= 1).alias("one")), "family").withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("own_band")))
+    banded = _salted(shares, whole.select("family", (F.col("all_share") <= 1).alias("one")), ["family"]).withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("own_band")))
     trees = banded.groupBy("family", "band", "tree").agg(F.sum("share").alias("tree_share"), F.any_value("one").alias("one")).withColumn("large", F.expr("not one and tree_share > 0.25"))
     rest = trees.filter("not large").groupBy("family", "band").agg(F.sum("tree_share").alias("rest_share"))
-    plan = cut(trees.join(rest, ["family", "band"], "left"))
+    plan = cut(_salted(trees, rest, ["family", "band"], "left"))
     own = F.when(F.col("large"), F.xxhash64(members["family"], "band", members["tree"], F.expr("pmod(xxhash64(id), cast(ceil(tree_share) as long))")))
     part = own.otherwise(F.xxhash64(members["family"], "band", F.pmod(F.xxhash64(members["tree"]), F.ceil("rest_share"))))
     same = (members["family"] == plan["family"]) & (members["tree"] == plan["tree"]) & (plan["one"] | (members["own_band"] == plan["band"]))
