@@ -75,3 +75,22 @@ def test_stages_keep_columns(spark, corpus):
     assert len(by_id) == len(docs) and by_id[900].text is None
     assert by_id[1].text.endswith("[SECRET]") and by_id[1].n_chars == len(by_id[1].text)
     assert zlib.crc32(by_id[4].text.encode()) == zlib.crc32(docs[4][1].encode())
+
+
+def test_run_with_nulls_and_repeated_ids(spark, corpus, tmp_path):
+    """Where ids repeat or are null, rows are told apart: what is no copy stays."""
+    rng = random.Random(4)
+    folder, _ = corpus
+    base = [f"w{rng.randrange(300)}" for _ in range(80)]
+    other = " ".join(f"w{rng.randrange(300)}" for _ in range(60))
+    near = " ".join([*base[:-1], "changed"])
+    rows = [(3, " ".join(base)), (5, near), (5, other), (5, other), (None, near + " x"), (None, None), (7, None), (8, ""), (5, other + " password: hunter2hunter2 " + " ".join(f"v{i}" for i in range(40)))]
+    made = [(i, t, "en", "src0", len(t or ""), "extra") for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, name string"
+    for name, table in (("full", made), ("none", made[:0])):
+        spark.createDataFrame(table, schema).repartition(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{folder}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    got = sorted(((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, f"{tmp_path}/full").collect()), key=str)
+    want = [(3, rows[0][1]), (5, other), (5, masked(rows[-1][1])), (None, near + " x"), (7, None)]
+    assert got == sorted(((i, p[4]) for i, t in want for p in pieces([(i, t)], 4096)), key=str)
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []

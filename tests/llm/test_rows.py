@@ -59,6 +59,22 @@ def test_kept_rows(spark, rows):
     assert len(kept) == len(set(kept)) == len({re.sub(r"\s", "", t or "") for _, t in rows})
 
 
+def test_kept_rows_of_one_id_do_not_depend_on_partitions(spark):
+    rows = [(1, "a b", i % 7, {"k": i}) for i in range(40)] + [(1, "ab", 1, None), (2, "q", 5, None), (2, "r", 5, None), (None, "z", 3, None), (None, "z", 2, None), (3, "q", 1, {})]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, place int, other map<string,int>")
+    got = [sorted(((r.doc_id, r.text, r.place) for r in dedup.kept_rows(d).collect()), key=str) for d in (docs.coalesce(1), docs.repartition(5), docs.orderBy(F.desc("place")))]
+    assert got[0] == got[1] == got[2]
+    assert [r[:2] for r in got[0]] == [(1, "a b"), (2, "q"), (2, "r"), (None, "z")]
+
+
+def test_one_row_that_is_most_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SALT_ROWS", 10)
+    rows = [(1, "same text")] * 300 + [(i, "same  text") for i in range(2, 50)] + [(None, "x")] * 30
+    got = dedup.exact_dedup(frame(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=str) == dedup_brute(rows)
+    assert sum(r.kept for r in got) == 2
+
+
 # URL filters
 
 
@@ -156,17 +172,12 @@ def test_trigram_queries():
 
 
 def top_brute(rows, k=5):
-    kept = {}
-    for key, v in rows:
-        if key is None or v is None or any(c is None or not np.isfinite(c) for c in v):
-            continue
-        kept[key] = max(kept.get(key, v), v)
-    whole = {i: [int(np.floor(256 * float(np.float32(c)))) for c in v] for i, v in kept.items()}
+    kept = [(key, v) for key, v in rows if key is not None and v is not None and all(c is not None and np.isfinite(c) for c in v)]
+    whole = [(i, [int(np.floor(256 * float(np.float32(c)))) for c in v]) for i, v in kept]
     out = []
-    for q in whole:
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(whole[q], whole[x], strict=False)), x) for x in whole if x != q)[:k]
-            out += [(q, r, x, -s) for r, (s, x) in enumerate(scored, 1)]
+    for q in sorted({i for i, _ in whole if i % 50 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), x) for i, v in whole if i == q for x, w in whole if x != q)[:k]
+        out += [(q, r, x, -s) for r, (s, x) in enumerate(scored, 1)]
     return sorted(out)
 
 
@@ -178,19 +189,39 @@ def test_top_k(spark, blocks, monkeypatch):
     rows = [(i, [float(np.float32(c)) for c in rng.normal(size=20) * (1 + i % 3)]) for i in range(260)]
     rows += [(i, rows[7][1]) for i in range(300, 420)]  # one very common vector
     rows += [(500, None), (501, [1.0, None]), (550, [float("nan")] * 20), (600, [float("inf")] * 20), (650, []), (700, [2.0, -3.0]), (None, [1.0] * 20), (5, rows[5][1])]
+    rows += [(9, rows[8][1]), (9, rows[50][1]), (100, rows[3][1]), (100, rows[4][1]), (150, rows[150][1])]  # one id, other vectors
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, score int, label int")
     assert sorted(map(tuple, topk.exact_top_k(df).collect())) == top_brute(rows)
     assert topk.exact_top_k(df.limit(0)).collect() == []
     assert topk.exact_top_k(df.filter("vec_id = 50")).collect() == []
 
 
+@pytest.mark.parametrize(("spread", "most"), [(0.05, 0.05), (0.3, 0.2), (None, 0.75)])
+def test_pairs_that_are_computed(spread, most):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    if spread:  # walks around 60 centres
+        x = rng.normal(size=(60, 64))[rng.integers(0, 60, 6000)] + spread * x
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids = np.arange(6000)
+    found, computed = topk.search(ids[::50], x[::50], ids, x, 5)
+    assert computed <= most * 120 * 5999
+    for q, (s, v) in zip(ids[::50], found, strict=True):
+        scores = x @ x[q]
+        order = [i for i in np.lexsort((ids, -scores)) if i != q][:5]
+        assert v.tolist() == order and s.tolist() == scores[order].tolist()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(30, 37)), rng.normal(size=(40, 37))
-    for s in topk.SEGMENTS:
+    for s in (*topk.SEGMENTS, 18):
         assert (topk.statistics(a, s) @ topk.statistics(b, s).T >= a @ b.T - 1e-9).all()
     big = np.full((2, 3), 1 << 30)
     assert (topk.exact(big, big) == 3 << 60).all()
+    pair = np.array([1])
+    assert topk.exact_pairs(big, big, pair, pair) == [3 << 60] and topk.exact_pairs(big[:, :0], big[:, :0], pair, pair) == [0]
+    assert topk.exact_pairs(a, b, pair, pair + 1) == [int(a[1] @ b[2])]
 
 
 # classifiers
@@ -231,3 +262,72 @@ def test_held_out_labels_are_not_learnt_from(spark):
     df = frame(spark, docs)
     turned = labels.withColumn("toxic", F.when(linear.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     assert sorted(r.score for r in linear.toxicity(df, labels).collect()) == sorted(r.score for r in linear.toxicity(df, turned).collect())
+
+
+def plain_features(text, f):
+    """Features by name instead of by hash, with their values."""
+    tokens = re.findall(r"[^\W_]+|[^\w\s]+|_+", (text or "").lower() if f.lower else text or "")
+    marks = ["=" if i and t == tokens[i - 1] else t for i, t in enumerate(tokens)]
+    found = [("gram", *marks[i : i + n]) for n in f.grams for i in range(len(marks) - n + 1)]
+    found += [("skip", d, marks[i], marks[i + d]) for d in f.skips for i in range(len(marks) - d)]
+    found += [("stem", n, t[:n]) for n in f.stems for t in tokens if len(t) >= n]
+    return {k: 1.0 if f.presence else float(np.float32(np.sqrt(found.count(k) / len(found)))) for k in set(found)}
+
+
+def plain_ftrl(rows, labels, o):
+    """One coordinate after the other."""
+    seen = {}
+    for x in rows:
+        for k in x:
+            seen[k] = seen.get(k, 0) + 1
+    z, n = {}, {}
+
+    def weight(k):
+        l1 = 0 if k == "bias" else o.l1
+        if k not in z or abs(z[k]) <= l1:
+            return 0.0
+        return -(z[k] - (l1 if z[k] > 0 else -l1)) / ((o.beta + n[k] ** 0.5) / o.alpha + o.l2)
+
+    order = np.random.default_rng(11)
+    for _ in range(o.epochs):
+        for i in order.permutation(len(rows)):
+            x = {k: v for k, v in rows[i].items() if seen[k] >= o.least_docs} | {"bias": 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - labels[i]) * v
+                before = n.get(k, 0.0)
+                n[k] = before + g * g
+                z[k] = z.get(k, 0.0) + g - (n[k] ** 0.5 - before**0.5) / o.alpha * w[k]
+    return {k: weight(k) for k in z}
+
+
+@pytest.mark.parametrize("label", ["toxic", "quality"])
+def test_classifiers_equal_plain_ftrl(spark, label):
+    docs, labels = labelled(spark)
+    df = frame(spark, docs)
+    features, ftrl = linear.TOXIC if label == "toxic" else linear.QUALITY
+    taught = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r[label] is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            taught[r.doc_id] = max(taught.get(r.doc_id, 0), r[label])
+    learnt = sorted({(r.turn, taught[r.doc_id], r.text) for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("turn")).collect() if r.doc_id in taught})
+    weights = plain_ftrl([plain_features(t, features) for _, _, t in learnt], [y for _, y, _ in learnt], ftrl)
+    got = (linear.toxicity if label == "toxic" else linear.quality)(df, labels).collect()
+    texts = {}
+    for k, t in docs:
+        texts.setdefault(k, set()).add(t)
+    for r in got:
+        wanted = [1 / (1 + np.exp(-weights["bias"] - sum(weights.get(k, 0.0) * v for k, v in plain_features(t, features).items()))) for t in texts[r.doc_id]]
+        assert min(abs(r.score - w) for w in wanted) < 1e-4
+
+
+def test_learning_is_bounded(spark):
+    docs, labels = labelled(spark)
+    docs = [(i, f"{t} tail{(i or 0) % 50}") for i, t in docs]
+    df = frame(spark, docs + docs[:50] * 20)
+    free = linear.fit(df, labels, "toxic", *linear.TOXIC)
+    assert np.array_equal(free.weights, linear.fit(frame(spark, docs), labels, "toxic", *linear.TOXIC).weights)  # repeated rows teach once
+    few, some = linear.fit(df, labels, "toxic", *linear.TOXIC, sample=40), linear.fit(df, labels, "toxic", *linear.TOXIC, letters=6000)
+    assert len(few.keys) < len(free.keys) and len(some.keys) < len(free.keys)
+    assert linear.fit(df, labels, "toxic", *linear.TOXIC, letters=0).bias != 0  # the first text is taken whole
