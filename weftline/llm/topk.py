@@ -1,11 +1,12 @@
 """Exact top-k search with multi-resolution segment statistics.
 
-A vector is cut into 1, 4, then 16 segments, each described by its mean and deviation. For segments of
-length L, ``q.x <= sum L (mean_q mean_x + dev_q dev_x)`` (Cauchy-Schwarz on what deviates from the
-means), which is an upper bound of the inner product and, with the norms, a lower bound of the distance
-``|q|^2 + |x|^2 - 2 q.x``. Bounds are themselves inner products of short vectors. Coarse to fine, the
-candidates whose bound falls below a query's k-th best score so far drop out; exact scores are
-computed for the survivors alone.
+A vector is cut into 1, 4, 16, then half as many segments as it has components, each described by its
+mean and deviation. For segments of length L, ``q.x <= sum L (mean_q mean_x + dev_q dev_x)``
+(Cauchy-Schwarz on what deviates from the means), which is an upper bound of the inner product and, with
+the norms, a lower bound of the distance ``|q|^2 + |x|^2 - 2 q.x``. Bounds are themselves inner products
+of short vectors. A query's floor, its k-th best score so far, is seeded by exact scores of the few
+candidates whose segment means come nearest. Then, coarse to fine, each pair whose bound falls below
+the query's floor drops out, and exact scores are computed for the surviving pairs alone.
 
 The queries are a stated share of the rows. Queries and candidates are dealt to blocks of bounded size
 by hash, every pair of blocks is one task's work, and each returns k rows a query, merged by a window
@@ -14,7 +15,8 @@ whose input Spark limits to k rows a query and task before the shuffle.
 Components become ``floor(256 x)``; scores are exact whole numbers.
 
 Edge cases: vectors that are null or hold null, NaN or infinite components take no part, nor do null
-ids; of rows with one id the largest vector counts; shorter vectors count as filled with zeros, empty
+ids; rows with one id are rows of their own, of which none is the other's candidate, and their finds
+are ranked together under that id; shorter vectors count as filled with zeros, empty
 ones score 0; ties go to the smaller id; a query without other candidates has no rows; an empty table
 gives no rows; other columns are never read.
 """
@@ -30,10 +32,14 @@ from weftline.session import prepare
 
 #: Vectors in a block of candidates and in one of queries, about.
 CANDIDATES, QUERIES = 32_768, 2048
-#: Segments of each resolution, coarse to fine.
+#: Segments of each resolution, coarse to fine; the finest has segments of two components.
 SEGMENTS = (1, 4, 16)
 #: Candidates and queries that are bounded at a time.
 TILE, GROUP = 4096, 64
+#: Candidates a result that seed a query's floor.
+SEEDS = 4
+#: Pairs whose exact scores are computed at a time.
+PAIRS = 1 << 16
 
 
 def statistics(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -72,40 +78,66 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np
     return scores[order], ids[order]
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the scores and ids of its k best among the vectors, without its own id."""
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(query_ids)
-    real = vectors.astype(np.float64)
-    sizes = np.linalg.norm(real, axis=1)
-    by_size = np.argsort(-sizes, kind="stable")  # large vectors first raise the k-th best early
-    ids, vectors, real, sizes = ids[by_size], vectors[by_size], real[by_size], sizes[by_size]
-    levels = [statistics(real, s) for s in SEGMENTS]
+def exact_pairs(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows a[i] and b[j] of whole numbers, given as float64 where these are exact."""
+    made = np.zeros(len(i), dtype=np.int64)
+    for s in range(0, len(i), PAIRS):
+        part = slice(s, s + PAIRS)
+        if a.dtype == np.float64:
+            made[part] = np.einsum("ij,ij->i", a[i[part]], b[j[part]])
+        else:
+            made[part] = [exact(a[[x]], b[[y]])[0, 0] for x, y in zip(i[part], j[part], strict=True)]
+    return made
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For each query the scores and ids of its k best among the vectors, without its own id, and the
+    number of pairs of which an exact score was computed."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    computed = 0
+    segments = [*SEGMENTS, *([vectors.shape[1] // 2] if vectors.shape[1] // 2 > SEGMENTS[-1] else [])]
+    real, asked = vectors.astype(np.float64), queries.astype(np.float64)
+    sizes, q_sizes = np.linalg.norm(real, axis=1), np.linalg.norm(asked, axis=1)
+    levels, q_levels = [[statistics(m, s) for s in segments] for m in (real, asked)]
+    few = min(SEEDS * k, len(ids))
+    most = int(np.abs(queries).max(initial=0)) * int(np.abs(vectors).max(initial=0)) * vectors.shape[1]
+    left, right = (asked, real) if most < 1 << 53 else (queries, vectors)
     for a in range(0, len(query_ids), GROUP):
         own = slice(a, a + GROUP)
-        q = queries[own].astype(np.float64)
-        q_sizes = np.linalg.norm(q, axis=1)
-        q_levels = [statistics(q, s) for s in SEGMENTS]
-        floor = np.full(len(q), -np.inf)
+        seen = np.zeros((len(queries[own]), len(ids)), dtype=bool)
+        foreign = ids != query_ids[own][:, None]
+        # means are every other number of a level's statistics
+        near = q_levels[len(SEGMENTS) - 1][own][:, ::2] @ levels[len(SEGMENTS) - 1][:, ::2].T
+        near[~foreign] = -np.inf
+        np.put_along_axis(seen, np.argpartition(-near, few - 1, axis=1)[:, :few], True, axis=1)
+        seen &= foreign
+        i, j = np.nonzero(seen)
+        scores = exact_pairs(left[own], right, i, j)
+        computed += len(i)
+        best = [best_of(scores[i == x], ids[j[i == x]], k) for x in range(len(seen))]
+        floor = np.array([s[-1] if len(s) == k else -np.inf for s, _ in best])
         for t in range(0, len(ids), TILE):
             at = np.arange(t, min(t + TILE, len(ids)))
-            open_rows = np.ones((len(q), len(at)), dtype=bool)
+            open_rows = foreign[:, at] & ~seen[:, at]
             for q_level, level in zip(q_levels, levels, strict=True):
-                slack = 1e-9 * q_sizes[:, None] * sizes[at] + 1e-6
-                open_rows &= q_level @ level[at].T + slack >= floor[:, None]
+                slack = 1e-9 * q_sizes[own][:, None] * sizes[at] + 1e-6
+                open_rows &= q_level[own] @ level[at].T + slack >= floor[:, None]
                 some = open_rows.any(axis=0)
                 at, open_rows = at[some], open_rows[:, some]
-            if not len(at):
+            i, j = np.nonzero(open_rows)
+            if not len(i):
                 continue
-            scores = exact(queries[own], vectors[at])
-            open_rows &= ids[at] != query_ids[own][:, None]
-            for i in range(len(q)):
-                keep = open_rows[i]
-                s, v = found[a + i]
-                s, v = best_of(np.concatenate([s, scores[i, keep]]), np.concatenate([v, ids[at[keep]]]), k)
-                found[a + i] = s, v
-                if len(s) == k:
-                    floor[i] = s[-1]
-    return found
+            scores = exact_pairs(left[own], right, i, at[j])
+            computed += len(i)
+            edges = np.searchsorted(i, np.arange(len(seen) + 1))
+            for x in np.unique(i):
+                part = slice(edges[x], edges[x + 1])
+                s, v = best[x]
+                best[x] = best_of(np.concatenate([s, scores[part]]), np.concatenate([v, ids[at[j[part]]]]), k)
+                if len(best[x][0]) == k:
+                    floor[x] = best[x][0][-1]
+        found += best
+    return found, computed
 
 
 def _matrix(lists: pa.ChunkedArray) -> np.ndarray:
@@ -127,7 +159,7 @@ def exact_top_k(embeddings: DataFrame, *, k: int = 5, every: int = 50, scale: in
     x = F.col("vector")
     usable = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
     rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & x.isNotNull() & usable)
-    rows = rows.groupBy("id").agg(F.max("vector").alias("vector")).select("id", F.transform("vector", lambda c: F.floor(scale * c.cast("double")).cast("long")).alias("whole"))
+    rows = rows.select("id", F.transform("vector", lambda c: F.floor(scale * c.cast("double")).cast("long")).alias("whole"))
     is_query = F.col("id") % every == 0
     counts = embeddings.agg(F.count("*").alias("n"), F.count_if(F.col(key) % every == 0).alias("q")).first()
     blocks, query_blocks = max(1, -(-counts["n"] // CANDIDATES)), max(1, -(-counts["q"] // QUERIES))
@@ -149,7 +181,7 @@ def exact_top_k(embeddings: DataFrame, *, k: int = 5, every: int = 50, scale: in
         wide = max(xs.shape[1], qs.shape[1])
         xs, qs = (np.pad(m, ((0, 0), (0, wide - m.shape[1]))) for m in (xs, qs))
         query_ids = right["id"].to_numpy()
-        found = search(query_ids, qs, left["id"].to_numpy(), xs, k)
+        found, _ = search(query_ids, qs, left["id"].to_numpy(), xs, k)
         return pa.table([np.repeat(query_ids, [len(s) for s, _ in found]), np.concatenate([v for _, v in found]), np.concatenate([s for s, _ in found])], schema=schema)
 
     by = ("query_block", "block")
