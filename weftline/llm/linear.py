@@ -34,7 +34,7 @@ TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 #: Rows and letters that are learnt from at most.
 SAMPLE, LETTERS = 8000, 26_000_000
 #: Token hashes that a worker keeps.
-CACHE = 400_000
+CACHE = 120_000
 AGAIN = np.uint64(0x5851F42D4C957F2D)
 MIX = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 BIAS = np.uint64(1)
