@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 
 from weftline.session import prepare
 
-#: Vectors in a block of candidates and in one of queries, about.
-CANDIDATES, QUERIES = 32_768, 2048
+#: Vectors of ``WIDE`` components in a block of candidates and in one of queries, about; fewer if they
+#: are longer. Each vector is copied to every block of the other kind, which is least where both are alike.
+CANDIDATES, QUERIES, WIDE = 32_768, 32_768, 64
 #: Segments of each resolution, coarse to fine; the finest has segments of two components.
 SEGMENTS = (1, 4, 16)
 #: Candidates and queries that are bounded at a time.
@@ -161,8 +162,9 @@ def exact_top_k(embeddings: DataFrame, *, k: int = 5, every: int = 50, scale: in
     rows = embeddings.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector")).filter(F.col("id").isNotNull() & x.isNotNull() & usable)
     rows = rows.select("id", F.transform("vector", lambda c: F.floor(scale * c.cast("double")).cast("long")).alias("whole"))
     is_query = F.col("id") % every == 0
-    counts = embeddings.agg(F.count("*").alias("n"), F.count_if(F.col(key) % every == 0).alias("q")).first()
-    blocks, query_blocks = max(1, -(-counts["n"] // CANDIDATES)), max(1, -(-counts["q"] // QUERIES))
+    counts = embeddings.agg(F.count("*").alias("n"), F.count_if(F.col(key) % every == 0).alias("q"), F.max(F.size(vector)).alias("wide")).first()
+    longer = max(1, -(-(counts["wide"] or 0) // WIDE))
+    blocks, query_blocks = (max(1, -(-counts[k] * longer // most)) for k, most in (("n", CANDIDATES), ("q", QUERIES)))
 
     def dealt(n: int):
         return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
